@@ -61,9 +61,9 @@ def queries() -> dict[str, Query]:
 
 _LINES = r"""
 WITH cut AS (SELECT id, source_site, raw_text, string_split(raw_text, chr(10)) AS l FROM project WHERE source_site IS NOT NULL AND raw_text <> ''),
-at AS (SELECT id, source_site, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM cut),
+cells AS (SELECT id, source_site, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM cut),
 norm AS (SELECT id, source_site, line, line_no,
-           regexp_replace(regexp_replace(line, '^[\s\p{Z}\x{85}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}]+|[\s\p{Z}\x{85}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}]+$', '', 'g'), '\p{Nd}+', '0', 'g') AS k FROM at),
+           regexp_replace(regexp_replace(line, '^[\s\p{Z}\x{85}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}]+|[\s\p{Z}\x{85}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}]+$', '', 'g'), '\p{Nd}+', '0', 'g') AS k FROM cells),
 sites AS (SELECT source_site, count(*) AS n FROM cut GROUP BY 1),
 often AS (SELECT source_site, k FROM norm JOIN sites USING (source_site) WHERE k <> ''
           GROUP BY source_site, k, n HAVING count(DISTINCT id) >= 5 AND 20 * count(DISTINCT id) >= n)
