@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, encoding, lookalikes, regions
+from . import boilerplate, encoding, lookalikes, pii, regions
 from .support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def _p1_misses(spark: SparkSession, d: str) -> DataFrame:
     return regions.misses(table(spark, d, "project"), table(spark, d, "region_ref"))
 
 
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "project"), table(spark, d, "region_ref"))
+
+
+def _p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "project"), table(spark, d, "region_ref"))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.disguised(table(spark, d, "project"), P4_FIELDS)
 
@@ -50,6 +58,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found,
         "p1_misses": _p1_misses,
+        "p3_found": _p3_found,
+        "p3_redacted": _p3_redacted,
         "p4_found": _p4_found,
         "p4_plain": _p4_plain,
         "p7_found": _p7_found,
