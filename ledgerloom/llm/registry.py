@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, encoding, lookalikes, pii, regions
+from . import boilerplate, encoding, incremental, lookalikes, pii, regions
 from .support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def _p4_plain(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.plain_forms(table(spark, d, "project"), P4_FIELDS).select("id", "field_name", "plain")
 
 
+def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    notices = table(spark, d, "project").select("id", "url", "source_site", "raw_text")
+    return incremental.repeats(notices, table(spark, d, "notice_observation").select("notice_id", "content_hash"))
+
+
 def _p7_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated(table(spark, d, "project")).select("id", "line_no")
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
         "p3_redacted": _p3_redacted,
         "p4_found": _p4_found,
         "p4_plain": _p4_plain,
+        "p5_found": _p5_found,
         "p7_found": _p7_found,
         "p7_clean": _p7_clean,
         "p7_sequences": _p7_sequences,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -12,9 +10,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed as checkpointed
+
 #: Blanks of any kind, and characters that take no room, as a Java/RE2/Python character class body.
 BLANK = r"\s\p{Z}\x{85}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}"
 
+#: The same characters in full.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\xad"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,19 +27,6 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | c.rlike(rf"^[{BLANK}]*$")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder the session names.
-
-    The session's ``spark.checkpoint.dir`` is used where it is set; only where it is unset, as in
-    local tests, a folder of our own is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 @dataclass(frozen=True)
 class CharTables:
     """Fixed facts about characters, independent of any data (about 25,000 entries)."""
@@ -90,6 +80,16 @@ def ignorable(c: str) -> bool:
     return unicodedata.category(c) == "Cf" or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF or o in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x180B, 0x180C, 0x180D)
 
 
+#: Rows of a side that may be broadcast; a larger side is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed copy, marked for broadcast if its rows are counted and few."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def per_distinct(values, fn):
     """Apply fn once to every distinct value of a pandas Series and spread the results."""
     known = {v: fn(v) for v in values.unique()}
