@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, encoding, incremental, lookalikes, pii, regions
+from . import boilerplate, encoding, incremental, lookalikes, pii, regions, spellings
 from .support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,18 @@ def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.repeats(notices, table(spark, d, "notice_observation").select("notice_id", "content_hash"))
 
 
+def _p6_values(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "project").select(F.explode(F.array("owner", "tenderer")).alias("value"))
+
+
+def _p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.pairs(_p6_values(spark, d), table(spark, d, "region_ref"))
+
+
+def _p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.classes(_p6_values(spark, d), table(spark, d, "region_ref"))
+
+
 def _p7_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated(table(spark, d, "project")).select("id", "line_no")
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Query]:
         "p4_found": _p4_found,
         "p4_plain": _p4_plain,
         "p5_found": _p5_found,
+        "p6_found": _p6_found,
+        "p6_classes": _p6_classes,
         "p7_found": _p7_found,
         "p7_clean": _p7_clean,
         "p7_sequences": _p7_sequences,
