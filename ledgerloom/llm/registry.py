@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, encoding, incremental, lookalikes, pii, regions, spellings
+from . import boilerplate, encoding, incremental, linkage, lookalikes, pii, regions, spellings
 from .support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,22 @@ def _p1_misses(spark: SparkSession, d: str) -> DataFrame:
     return regions.misses(table(spark, d, "project"), table(spark, d, "region_ref"))
 
 
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    notices = table(spark, d, "project").select("id", F.col("project_name").alias("name"), "owner", "region", F.array("project_no").alias("numbers"))
+    # plan and investment numbers aren't the notices' number systems
+    numbers = table(spark, d, "engineering_project_identifier").filter("identifier_type = '工程编号'").groupBy(F.col("engineering_project_id").alias("id")).agg(F.collect_set("identifier_value").alias("numbers"))
+    register = table(spark, d, "engineering_project").join(numbers, "id", "left").select("id", F.col("canonical_name").alias("name"), "owner", "region", "numbers")
+    return linkage.matches(notices, register, table(spark, d, "region_ref"))
+
+
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("id", "engineering_project_id")
+
+
+def _p2_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("id", "engineering_project_id", F.round("confidence", 6).alias("confidence"))
+
+
 def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(table(spark, d, "project"), table(spark, d, "region_ref"))
 
@@ -75,6 +91,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found,
         "p1_misses": _p1_misses,
+        "p2_found": _p2_found,
+        "p2_confidence": _p2_confidence,
         "p3_found": _p3_found,
         "p3_redacted": _p3_redacted,
         "p4_found": _p4_found,
