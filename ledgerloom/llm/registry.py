@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, encoding, incremental, linkage, lookalikes, pii, regions, spellings
+from . import boilerplate, encoding, incremental, linkage, lookalikes, mixture, pii, reading, regions, spellings
 from .support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,22 @@ def _p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encoded(table(spark, d, "documents"))
 
 
+def _p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixed(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "mix_target"))
+
+
+def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(_p9_mix(spark, d), table(spark, d, "mix_target"))
+
+
+def _p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.demanding(table(spark, d, "documents"), table(spark, d, "reading_label"))
+
+
+def _p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_label")).select("doc_id", "level")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found,
@@ -104,6 +120,10 @@ def queries() -> dict[str, Query]:
         "p7_clean": _p7_clean,
         "p7_sequences": _p7_sequences,
         "p8_ids": _p8_ids,
+        "p9_mix": _p9_mix,
+        "p9_shares": _p9_shares,
+        "p10_found": _p10_found,
+        "p10_levels": _p10_levels,
     }
 
 
