@@ -30,7 +30,7 @@ from .regions import Resolver, entries_of
 from .spellings import Parser, _gazetteer
 from .support import char_tables, checkpointed, once
 
-SHARE = 0.4
+SHARE = 0.22
 MUTUAL = 0.35
 K1, B = 1.2, 0.3
 #: Pairs taken into the fit of the calibration, by hash of their ids.
@@ -155,10 +155,15 @@ def weights(register: DataFrame) -> tuple[DataFrame, int, float]:
     return df.select("term", "df", idf.alias("idf")), n, mean or 1.0
 
 
-def weighted(records: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, w: array<struct<idf, term>>) with terms the register has, heaviest first."""
-    rows = records.select("id", F.explode("terms").alias("term")).join(idf, "term")
-    return rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idf", "term")), asc=False).alias("w"))
+def weighted(records: DataFrame, idf: DataFrame, n: int) -> DataFrame:
+    """(id, own, w: array<struct<idf, term>>): the score of a record with itself, and its terms that the register has, heaviest first.
+
+    A term the register lacks counts in ``own`` with the weight of one it has never seen.
+    """
+    unseen = float(np.log(1 + (n + 0.5) / 0.5))
+    rows = records.select("id", F.explode("terms").alias("term")).join(idf, "term", "left")
+    heavy = F.sort_array(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("idf", "term"))), asc=False)
+    return rows.groupBy("id").agg(F.sum(F.coalesce("idf", F.lit(unseen))).alias("own"), heavy.alias("w"))
 
 
 def retrieved(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -166,11 +171,11 @@ def retrieved(queries: DataFrame, index: DataFrame) -> DataFrame:
 
     queries, index: (id, terms). No pair that reaches the bound is lost and none is capped.
     """
-    idf, _, mean = weights(index)
+    idf, n, mean = weights(index)
     idf = checkpointed(idf)
     size = index.select(F.col("id").alias("b"), "terms", (1 / (1 + K1 * (1 - B + B * F.size("terms") / mean)) * (K1 + 1)).alias("norm"))
     bound = (K1 + 1) / (1 + K1 * (1 - B))  # no entry's length factor exceeds it
-    asked = weighted(queries, idf).withColumn("own", F.aggregate("w", F.lit(0.0), lambda s, x: s + x["idf"]))
+    asked = weighted(queries, idf.select("term", "idf"), n)
     # heaviest first: a term is essential while it and all lighter ones together can still reach the bound
     rest = F.transform("w", lambda x, i: F.struct(x["term"].alias("term"), F.aggregate(F.slice("w", i + 1, F.size("w")), F.lit(0.0), lambda s, y: s + y["idf"]).alias("left")))
     essential = F.filter(rest, lambda x: x["left"] * bound >= SHARE * F.col("own"))
