@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tracking
+from . import grouping, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (tracking,)
+_MODULES = (tracking, grouping)
 
 
 def queries() -> dict[str, Query]:
