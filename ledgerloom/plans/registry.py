@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grouping, tracking
+from . import grouping, texts, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (tracking, grouping)
+_MODULES = (tracking, grouping, texts)
 
 
 def queries() -> dict[str, Query]:
