@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grouping, texts, tracking
+from . import grouping, linking, texts, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (tracking, grouping, texts)
+_MODULES = (tracking, grouping, texts, linking)
 
 
 def queries() -> dict[str, Query]:
