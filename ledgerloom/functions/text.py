@@ -72,8 +72,11 @@ def identifier(c: Column) -> Column:
 def extracted(c: Column, patterns: dict[str, str]) -> Column:
     """array<string> ``kind:value`` of all matches of the patterns' first group, in order, each once."""
     text = F.coalesce(c, F.lit(""))
-    found = (F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda v, k=k: F.concat(F.lit(f"{k}:"), v)) for k, p in patterns.items())
-    return F.array_distinct(F.concat(*found))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda v: F.concat(F.lit(f"{kind}:"), v))
+
+    return F.array_distinct(F.concat(*(of(k, p) for k, p in patterns.items())))
 
 
 def ngrams(c: Column, n: int) -> Column:

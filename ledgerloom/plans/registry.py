@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grouping, linking, texts, tracking
+from . import grouping, linking, searching, texts, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (tracking, grouping, texts, linking)
+_MODULES = (tracking, grouping, texts, linking, searching)
 
 
 def queries() -> dict[str, Query]:
