@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from .lookalikes import REGULAR, Plain, bigrams, fields
 from .regions import Resolver, entries_of
 from .spellings import Parser, _gazetteer
-from .support import char_tables, checkpointed, once
+from .support import char_tables, checkpointed, once, sampled
 
 SHARE = 0.22
 MUTUAL = 0.35
 K1, B = 1.2, 0.3
 #: Pairs taken into the fit of the calibration, by hash of their ids.
-FITTED = 20_000
+FITTED = 5_000
 FEATURES = ("relative", "gap", "work", "place", "owner_same", "owner_other", "region_same", "region_other", "phase_same", "phase_other", "phase_missing")
 _REGULAR = re.compile(f"{REGULAR}*")
 #: Digits of phases.
@@ -232,7 +232,7 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 def calibration(pairs: DataFrame) -> np.ndarray:
     """Weights of the logistic calibration (constant first), from silver labels on at most FITTED pairs."""
     silver = pairs.filter("(rank = 1 and number = 1 and phase_other = 0) or (rank > 1 and number = 0)")
-    rows = silver.select(F.col("rank").alias("r"), *FEATURES).orderBy(F.xxhash64("a", "b")).limit(FITTED).toPandas()
+    rows = sampled(silver, FITTED, "a", "b").select(F.col("rank").alias("r"), *FEATURES).toPandas()
     x = np.concatenate([np.ones((len(rows), 1)), rows[list(FEATURES)].to_numpy(dtype=float)], axis=1)
     y = (rows["r"] == 1).to_numpy(dtype=float)
     # what every match should have, as prior weights, so that a small or one-sided sample stays sane

@@ -90,6 +90,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
+def sampled(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About ``most`` rows at the most, chosen by a hash of the keys; all rows if they are fewer."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def per_distinct(values, fn):
     """Apply fn once to every distinct value of a pandas Series and spread the results."""
     known = {v: fn(v) for v in values.unique()}
