@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import is_blank
+from .support import is_blank, sampled
 
 PLACES = 1 << 18
 LEVELS = 5
@@ -105,7 +105,7 @@ class Model:
         return float((weight * self.mean[w]).sum() / total) if total > 0 else 0.0
 
 
-def _word_counts(docs: DataFrame, levels: np.ndarray | None, cuts: np.ndarray | None, model) -> DataFrame:
+def _word_counts(docs: DataFrame, cuts: np.ndarray | None, model) -> DataFrame:
     """(place, n1..n5): documents of each level a word occurs in. docs: (text, level), level null where unknown."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +174,7 @@ def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     if not prior.sum():
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.lit(3).alias("level"))
     steps = steps_of(prior)
-    sample = labelled.orderBy(F.xxhash64("doc_id")).limit(FITTED).select("text", "level")
+    sample = sampled(labelled, FITTED, "doc_id").select("text", "level")
 
     def cut(model) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,11 +184,11 @@ def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         rows = sample.mapInPandas(run, "score double, level int").toPandas()
         return cut_points(rows["score"].to_numpy(), rows["level"].to_numpy())
 
-    model = spark.sparkContext.broadcast(_fit_words(_word_counts(labelled, None, None, None), steps))
+    model = spark.sparkContext.broadcast(_fit_words(_word_counts(labelled, None, None), steps))
     cuts = cut(model)
     everything = texts.join(known, "doc_id", "left").select("text", "level")
     for _ in range(ROUNDS - 1):
-        model = spark.sparkContext.broadcast(_fit_words(_word_counts(everything, None, cuts, model), steps))
+        model = spark.sparkContext.broadcast(_fit_words(_word_counts(everything, cuts, model), steps))
         cuts = cut(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
