@@ -1,0 +1 @@
+"""Readers of stored pages, API replies, listings and attachments."""
