@@ -60,9 +60,17 @@ def sentences(text: Column) -> Column:
 
 
 def token_sets(notices: DataFrame) -> DataFrame:
-    """(id, tokens): distinct sentence hashes of each text without the lines its site repeats."""
-    rows = notices.filter("raw_text <> ''").select("id", F.coalesce("source_site", F.lit("")).alias("source"), boilerplate.line_keys(F.col("raw_text")).alias("lines"), sentences(F.col("raw_text")).alias("cut"))
-    counted = rows.filter("source <> ''").select("source", "lines")
+    """(id, tokens): distinct sentence hashes of each text without the lines its site repeats.
+
+    A line counts as repeated here by the number of different longest lines beside it, one text for
+    each: many copies of one text, even slightly edited ones, don't make its own lines furniture.
+    """
+    text = F.col("raw_text")
+    lengths = F.transform(F.split(text, "\n"), lambda x: F.length(x))
+    rows = notices.filter("raw_text <> ''").select("id", F.coalesce("source_site", F.lit("")).alias("source"), boilerplate.line_keys(text).alias("lines"), sentences(text).alias("cut"), F.array_position(lengths, F.array_max(lengths)).cast("int").alias("at"))
+    rows = checkpointed(rows.select("id", "source", "lines", "cut", F.element_at("lines", F.col("at")).alias("longest")))
+    firsts = rows.filter("source <> ''").groupBy("source", "longest").agg(F.min("id").alias("id")).select("id")
+    counted = rows.filter("source <> ''").select("id", "source", "lines").join(firsts, "id", "left_semi")
     often = small(boilerplate.frequent_lines(counted, boilerplate.support_needed(counted)))
     # one row a source: at most 20 lines for every line of a mean text
     often = often.groupBy("source").agg(F.collect_set("line").alias("often"))

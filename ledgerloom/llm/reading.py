@@ -9,8 +9,8 @@ document levels from the difficulties of their words; unlabelled documents enter
 estimated levels.
 
 Words are Latin words and pairs of neighbouring Han characters, hashed into 2^18 places, so the
-model's size is fixed and it may be broadcast. A document's score is the mean over its words of the
-expected level; cut points come from the labelled documents.
+model's size is fixed and it may be broadcast. A document's score is the interquartile mean over its
+words of the expected level; cut points come from the labelled documents.
 """
 
 from __future__ import annotations
@@ -101,8 +101,15 @@ class Model:
     def score(self, text: str) -> float:
         w = words(text)
         weight = self.weight[w]
-        total = float(weight.sum())
-        return float((weight * self.mean[w]).sum() / total) if total > 0 else 0.0
+        if not weight.any():
+            return 0.0
+        level = self.mean[w]
+        order = np.argsort(level, kind="stable")
+        share = np.cumsum(weight[order])
+        share /= share[-1]
+        # the mean of the middle half: sentences of another level, which most texts have some of, don't move it
+        inner = np.clip(share, 0.25, 0.75)
+        return float((np.diff(inner, prepend=0.25) * level[order]).sum() * 2)
 
 
 def _word_counts(docs: DataFrame, cuts: np.ndarray | None, model) -> DataFrame:
