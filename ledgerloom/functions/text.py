@@ -109,3 +109,23 @@ def same_host(url: Column, page: Column, allowed: list[str]) -> Column:
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     below = [(host == a) | host.endswith("." + a) for a in allowed]
     return F.coalesce(reduce(lambda x, y: x | y, below, host == F.lower(F.try_parse_url(page, F.lit("HOST")))), F.lit(False))
+
+
+#: Chinese digits by their place.
+DIGITS = "〇一二三四五六七八九"
+
+
+def chinese_number(c: Column) -> Column:
+    """Numbers up to 999 in Chinese (二十一, 百零三, 一二), in Roman I to X or in digits; null for anything else."""
+    text = F.upper(F.trim(F.translate(c, "零两", "〇二")))
+    digits = F.translate(text, DIGITS, "0123456789")
+
+    def part(pattern: str, none: int) -> Column:
+        found = F.regexp_extract(digits, pattern, 1)
+        return F.when(found == "", F.lit(none)).otherwise(found.cast("int"))
+
+    hundreds = F.when(digits.contains("百"), part(r"^(\d)百", 1)).otherwise(0)
+    tens = F.when(digits.contains("十"), part(r"(\d)十", 1)).otherwise(0)
+    ones = part(r"[十百]0?(\d)$", 0)
+    roman = F.create_map(*(x for i, r in enumerate(("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"), 1) for x in (F.lit(r), F.lit(i))))
+    return F.when(digits.rlike(r"^\d{1,9}$"), F.try_to_number(digits, F.lit("999999999")).cast("int")).when(digits.rlike(r"^(?:\d?百)?0?(?:\d?十)?\d?$") & digits.rlike("[十百]"), hundreds * 100 + tens * 10 + ones).otherwise(roman[text])

@@ -15,9 +15,8 @@ def tokens(c: Column) -> Column:
 
 def pairs_of_han(c: Column) -> Column:
     """array<string>: pairs of neighbouring Han characters, so that words inside a run are found."""
-    text = F.coalesce(c, F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.filter(grams, lambda g: g.rlike("^[一-鿿]{2}$"))
+    # an empty match that looks ahead moves on by one character: one pass, however long the text
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?=([一-鿿]{2}))"), 1)
 
 
 def postings(docs: DataFrame, id_col: str, toks: Column) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grouping, linking, reports, searching, streams, texts, tracking
+from . import grouping, linking, relating, reports, searching, streams, texts, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (tracking, grouping, texts, linking, searching, reports, streams)
+_MODULES = (tracking, grouping, texts, linking, relating, searching, reports, streams)
 
 
 def queries() -> dict[str, Query]:

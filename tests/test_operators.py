@@ -140,3 +140,21 @@ def test_persisted_facts_stay_and_queue_has_conflicts_first(spark, rows):
     assert rows(facts.persisted(old, new), "value", "active") == [("A", False), ("B", True), ("C", True), ("D", True), ("D", True)]
     none = spark.createDataFrame([], "review_id long, notice_id long, fact_type string, value string, source string, action string")
     assert [(r.id, r.priority) for r in facts.review_queue(new, none).collect()] == [(3, "P0"), (5, "P1")]
+
+
+def test_chinese_numbers(spark):
+    from ledgerloom.functions import text as T
+
+    want = {"一": 1, "十": 10, "十二": 12, "二十": 20, "二十一": 21, "百零三": 103, "三百二十五": 325, "一二": 12, "II": 2, "x": 10, "7": 7, "012": 12, "": None, "甲": None, None: None}
+    got = [r.n for r in spark.createDataFrame([(k,) for k in want], "t string").select(T.chinese_number(F.col("t")).alias("n")).collect()]
+    assert got == list(want.values())
+
+
+def test_relations_and_entities(spark, rows):
+    from ledgerloom.operators import relating
+
+    e = spark.createDataFrame([(1, "甲路工程", ["R"], ["O"], ["n1"], [1]), (2, "甲路工程", ["R"], [], ["n1"], [2]), (3, "甲路工程东段", ["R"], ["O"], [], []), (4, "乙", [], [], [], [])], "id long, name string, regions array<string>, owners array<string>, identifiers array<string>, phases array<int>")
+    k = spark.createDataFrame([("甲", 1), ("甲", 2), ("甲", 3), ("乙", 4)], "key string, id long")
+    assert rows(relating.related(e, k)) == [(1, 2, 85, "OTHER_PHASE"), (1, 3, 60, "PART")]
+    links = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, ""), (5, "c"), (6, None)], "id long, identifier string")
+    assert rows(relating.by_identifiers(links)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)]
