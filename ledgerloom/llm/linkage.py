@@ -44,6 +44,8 @@ _NOTICE_OTHER = re.compile(r"[一-鿿]{0,4}(?:公告|公示|通知)$")
 _LOT = re.compile(r"(?:[A-Z]{1,3}-?\d+标段?|第?[一二三四五六七八九十IVX\d]+#?标段|[A-Z]区|EPC总承包|施工总承包|标段)")
 _PHASE = re.compile(r"[(（]?第?([一二三四五六七八九十]|[IVⅠⅡⅢ]+|\d)期(?:工程|项目)?[)）]?")
 _TAIL = re.compile(r"(?:工程|项目)+$")
+#: What follows a place's own name; a region's name before it is part of that name.
+FACILITY = "路街镇园港河渠线湾村山湖乡桥"
 
 
 class Bag:
@@ -90,7 +92,7 @@ class Bag:
                 where = m[1]
             s = s[: m.start()] + s[m.end() :]
         found, rest = self.parser.region_of(s)
-        if found and len(rest) >= 4:
+        if found and len(rest) >= 4 and rest[0] not in FACILITY:
             where, s = where or s[: len(s) - len(rest)], rest
         s = _TAIL.sub("", re.sub(r"[()（）\-—_]", "", s))
         return s, phase, self.region(where) if where else 0
