@@ -45,7 +45,7 @@ _LOT = re.compile(r"(?:[A-Z]{1,3}-?\d+标段?|第?[一二三四五六七八九
 _PHASE = re.compile(r"[(（]?第?([一二三四五六七八九十]|[IVⅠⅡⅢ]+|\d)期(?:工程|项目)?[)）]?")
 _TAIL = re.compile(r"(?:工程|项目)+$")
 #: What follows a place's own name; a region's name before it is part of that name.
-FACILITY = "路街镇园港河渠线湾村山湖乡桥"
+FACILITY = "路街镇园线渠河村"
 
 
 class Bag:
