@@ -139,7 +139,7 @@ QUERIES = {
 _CUT = r"list_filter(list_transform(string_split(regexp_replace(coalesce({0}, ''), '([。！？；;])', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
 _SENTENCES = f"""
 WITH c AS (SELECT id, {_CUT.format("raw_text")} AS l FROM project),
-s AS (SELECT id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS pos FROM c)
+s AS (SELECT id, unnest(l) AS sentence, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM c)
 """
 
 
@@ -156,7 +156,7 @@ _EVIDENCE = (
 v AS (SELECT *, CAST(CASE WHEN positive = 0 THEN 0 ELSE least(100, 40 + 20 * positive) - CASE WHEN negative > 0 THEN 20 ELSE 0 END END AS INTEGER) AS strength FROM g)
 """
 )
-_LINES = "WITH c AS (SELECT id, string_split(raw_text, chr(10)) AS l FROM project), n AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM c)"
+_LINES = "WITH c AS (SELECT id, string_split(raw_text, chr(10)) AS l FROM project), n AS (SELECT id, unnest(l) AS line, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM c)"
 _CLEAN = r"trim(regexp_replace(raw_text, '[ \t\r\n\f]+', ' ', 'g'), ' ')"
 
 SQL = {

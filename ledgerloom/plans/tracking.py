@@ -237,7 +237,7 @@ SELECT source_id, CAST(observed_at AS DATE) AS day, count(*) AS n, CAST(sum(is_f
 FROM notice_observation GROUP BY 1, 2""",
     "validate_reject_reasons": _VALID + "SELECT id, len(reasons) = 0 AS accepted, array_to_string(reasons, '; ') AS reasons FROM r",
     "reject_reason_counts": _VALID + "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY 1",
-    "publish_dates": f"SELECT id, {_PUBLISHED} AS published, date_diff('day', {_PUBLISHED}, CAST(created_at AS DATE)) AS days_before FROM project",
+    "publish_dates": f"SELECT id, {_PUBLISHED} AS published, CAST(date_diff('day', {_PUBLISHED}, CAST(created_at AS DATE)) AS INTEGER) AS days_before FROM project",
     "recency_filter": f"SELECT * FROM (SELECT id, source_site, {_PUBLISHED} AS published FROM project) WHERE published BETWEEN DATE '2025-04-01' AND DATE '2025-05-01'",
     "content_fingerprint": "SELECT id, sha256(concat_ws(chr(31), " + ", ".join(_SQUASH.format(c) for c in ("project_name", "project_no", "publish_date", "region", "owner", "tenderer", "project_stage", "construction_content", "raw_text")) + ")) AS fingerprint FROM project",
     "upsert_latest_by_key": """
