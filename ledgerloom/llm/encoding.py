@@ -4,7 +4,7 @@ Each text is cut by the vocabulary's public pattern; the distinct pieces of an A
 merged together. A piece's segment tree has its byte positions as leaves; a leaf holds the rank of
 the pair that begins there, a node the leftmost minimum below it. The root thus names the next
 merge, which updates the leaves of the three positions it touches (linked by live neighbours) and
-their log(n) ancestors. NumPy runs step s of all pieces of a size class at once.
+their log(n) ancestors. NumPy runs step s of all pieces of a size class at once; a very long piece runs alone over plain lists.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NONE = np.int64(1) << 60
 CELLS = 1 << 20  # leaves handled at once
 KEPT = 100_000  # pieces a worker remembers
+LONG = 4096  # bytes from which a piece is merged alone
 SLOTS = 21  # log2 of the pair table's size
 
 
@@ -86,6 +87,7 @@ class Encoder:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.whole = ranks
         self.known: dict[str, np.ndarray] = {}
+        self.ranks: dict[int, int] | None = None
 
     def merge(self, pieces: list[bytes], size: int) -> list[np.ndarray]:
         """Ids of pieces of at most ``size`` bytes, size a power of two."""
@@ -128,6 +130,50 @@ class Encoder:
             rows = rows[tree[rows, 1] < NONE]
         return [x[x >= 0].astype(np.int32) for x in ids]
 
+    def merge_one(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece, by the same tree over plain lists: its merges follow each other, so arrays don't help."""
+        if self.ranks is None:
+            at = self.pairs.keys >= 0
+            self.ranks = dict(zip(self.pairs.keys[at].tolist(), self.pairs.values[at].tolist(), strict=True))
+        rank, width, none, n = self.ranks, int(self.pairs.width), int(NONE), len(piece)
+        size = 1 << (n - 1).bit_length()
+        ids = self.single[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        tree = [none] * (2 * size)
+        for i in range(n - 1):
+            r = rank.get(ids[i] * width + ids[i + 1])
+            if r is not None:
+                tree[size + i] = r * size + i
+        for k in range(size - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+        def put(i: int, key: int) -> None:
+            node = size + i
+            tree[node] = key
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a <= b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while (top := tree[1]) < none:
+            new, at = divmod(top, size)
+            gone = after[at]
+            nxt, prv = after[gone], before[at]
+            ids[at], ids[gone], after[at] = new, -1, nxt
+            put(gone, none)
+            right = None
+            if nxt < n:
+                before[nxt] = at
+                right = rank.get(new * width + ids[nxt])
+            put(at, none if right is None else right * size + at)
+            if prv >= 0:
+                left = rank.get(ids[prv] * width + new)
+                put(prv, none if left is None else left * size + prv)
+        return np.array([x for x in ids if x >= 0], dtype=np.int32)
+
     def pieces(self, texts: list[str]) -> None:
         """Encode pieces that aren't known yet."""
         classes: dict[int, list[tuple[str, bytes]]] = {}
@@ -135,6 +181,8 @@ class Encoder:
             b = t.encode()
             if (r := self.whole.get(b)) is not None:
                 self.known[t] = np.array([r], dtype=np.int32)
+            elif len(b) > LONG:
+                self.known[t] = self.merge_one(b)
             else:
                 classes.setdefault(1 << max(1, (len(b) - 1).bit_length()), []).append((t, b))
         for size, group in classes.items():

@@ -25,6 +25,17 @@ def test_ids_equal_the_public_tokenizer(coders, texts):
     assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(len(texts))] == [public.encode_ordinary(t) for t in texts]
 
 
+def test_ids_of_long_pieces(coders, monkeypatch):
+    texts = ["中文工程" * 3000, "abcab" * 5000, "x" * 5000, "".join(chr(0x4E00 + i * 7 % 9000) for i in range(6000))]
+    ids, ends = coders[0].encode(texts)
+    assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(4)] == [coders[1].encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(encoding, "LONG", 3)
+    coders[0].known.clear()
+    some = ["招标公告 and tenders", "équipement", "aaaaaaa"]
+    ids, ends = coders[0].encode(some)
+    assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(3)] == [coders[1].encode_ordinary(t) for t in some]
+
+
 def test_ids_of_all_documents(spark, coders):
     texts = [None, "", " ", "<|endoftext|>", "中" * 3000, "word " * 2000, "混合 text\n\n行", "é" * 50]
     df = spark.createDataFrame([(i, t, [9]) for i, t in enumerate([*texts, *texts])], "doc_id long, text string, ids array<int>")
