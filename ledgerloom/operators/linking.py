@@ -12,8 +12,8 @@ from pyspark.sql.types import DoubleType
 
 
 def blocks(rows: DataFrame, id_col: str, keys: Column) -> DataFrame:
-    """(key, id): one row per key of each record; keys is an array."""
-    return rows.select(F.explode(keys).alias("key"), F.col(id_col).alias("id")).distinct()
+    """(key, id): one row per key of each record; keys is an array, ids are unique."""
+    return rows.select(F.explode(F.array_distinct(keys)).alias("key"), F.col(id_col).alias("id"))
 
 
 def block_sizes(keyed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +43,14 @@ def bm25(docs: DataFrame, id_col: str, toks: Column, query: list[str], limit: in
     rows = docs.select(F.col(id_col).alias("id"), toks.alias("t"))
     counted = rows.select("id", F.size("t").alias("length"), *(_times(q).alias(f"tf{i}") for i, q in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    whole = stats.first()  # one row of counts
     hit = counted.filter(" and ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
-    both = hit.crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    ranked = both.select("id", F.round(score, 6).alias("score"))
+        tf, df = F.col(f"tf{i}"), whole[f"df{i}"]
+        idf = log(1 + (whole["n"] - df + 0.5) / (df + 0.5))
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(whole["mean"] or 1.0)))
+    ranked = hit.select("id", F.round(score, 6).alias("score"))
     return ranked.orderBy(F.desc("score"), "id").limit(limit) if limit else ranked
 
 
