@@ -102,7 +102,8 @@ def mixed(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, tokens, actual_share, documents, most_copies) of every listed source."""
     got = mix.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), (F.max("copy_no") + 1).alias("most_copies"))
-    whole = got.agg(F.sum("tokens").alias("all"))
+    got = checkpointed(got)  # one row a listed source
+    whole = got.agg(F.sum("tokens")).first()[0] or 0
     wanted = targets.groupBy("source").agg(F.sum("target_share").alias("target_share")).filter("source is not null")
-    rows = wanted.join(got, "source", "left").fillna(0, ["tokens", "documents", "most_copies"]).crossJoin(F.broadcast(whole))  # whole is one row
-    return rows.select("source", "target_share", "tokens", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(0.0).alias("actual_share"), "documents", "most_copies")
+    rows = wanted.join(got, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
+    return rows.select("source", "target_share", "tokens", (F.col("tokens") / F.lit(float(whole or 1))).alias("actual_share"), "documents", "most_copies")
