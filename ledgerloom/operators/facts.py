@@ -73,3 +73,11 @@ def review_queue(facts: DataFrame, reviews: DataFrame, limit: int | None = None)
     rows = rows.withColumn("priority", priority).filter((F.col("priority") != "P0") | (F.col("id") == F.col("first")))
     out = rows.select("id", "notice_id", "fact_type", "value", "priority").orderBy("priority", "id")
     return out.limit(limit) if limit else out
+
+
+def preview(facts: DataFrame, reviews: DataFrame, hypothetical: DataFrame) -> DataFrame:
+    """(notice_id, fact_type, before, after): what further reviews would change, without writing any."""
+    key = ["notice_id", "fact_type"]
+    before = resolved(facts, reviews).select(*key, F.col("value").alias("before"))
+    after = resolved(facts, reviews.unionByName(hypothetical)).select(*key, F.col("value").alias("after"))
+    return before.join(after, key, "full").filter(~F.col("before").eqNullSafe(F.col("after")))
