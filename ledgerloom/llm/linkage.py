@@ -258,7 +258,9 @@ def matches(notices: DataFrame, register: DataFrame, reference: DataFrame) -> Da
     """
     left = checkpointed(terms(bags(notices, reference, notices)))
     right = checkpointed(terms(bags(register, reference, notices)))
-    pairs = checkpointed(compared(retrieved(left, right), left, right))
+    # a match needs the same work or number, so records with neither, whose terms may all be hot, ask for nothing
+    asking = left.filter("work <> '' or size(numbers) > 0")
+    pairs = checkpointed(compared(retrieved(asking, right), left, right))
     w = calibration(pairs)
     logit = F.lit(float(w[0]))
     for c, v in zip(FEATURES, w[1:], strict=True):
