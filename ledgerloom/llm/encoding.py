@@ -28,7 +28,7 @@ NONE = np.int64(1) << 60
 CELLS = 1 << 20  # leaves handled at once
 KEPT = 100_000  # pieces a worker remembers
 LONG = 4096  # bytes from which a piece is merged alone
-SLOTS = 21  # log2 of the pair table's size
+SLOTS = 20  # log2 of the pair table's size
 
 
 def load_ranks(name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> dict[bytes, int]:

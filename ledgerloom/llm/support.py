@@ -110,7 +110,7 @@ _MADE: dict[str, object] = {}
 def once(key: str, make):
     """What make() gives, made once a Python worker and kept for its next batches."""
     if key not in _MADE:
-        if len(_MADE) > 16:
+        if len(_MADE) > 2:
             _MADE.clear()
         _MADE[key] = make()
     return _MADE[key]
