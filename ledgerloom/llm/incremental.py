@@ -186,9 +186,10 @@ class HistoryIndex:
         old = known.join(wanted.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi").select("key", "id")
         links = same_key(old.unionByName(keys))
         posted = checkpointed(postings(sets, order, unmatched=True)).select("*", F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        past = self._read("postings", lambda: posted.limit(0)).unionByName(posted)
+        past = self._read("postings", lambda: posted.limit(0)).withColumn("old", F.lit(True)).unionByName(posted.withColumn("old", F.lit(False)))
         a, b = past.alias("a"), posted.alias("b")
-        fits = (F.least("a.size", "b.size") >= THRESHOLD * F.greatest("a.size", "b.size")) & (F.col("a.id") < F.col("b.id"))
+        # ids mostly grow from batch to batch, but a late batch may hold smaller ones
+        fits = (F.least("a.size", "b.size") >= THRESHOLD * F.greatest("a.size", "b.size")) & F.when(F.col("a.old"), F.col("a.id") != F.col("b.id")).otherwise(F.col("a.id") < F.col("b.id"))
         pairs = checkpointed(a.join(b, ["bucket", "key", "second"]).filter(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
         past_sets = self._read("sets", lambda: sets.limit(0)).unionByName(sets)
         links = links.unionByName(verified(pairs, past_sets, sets))
@@ -203,3 +204,28 @@ class HistoryIndex:
         sets.write.mode("append").parquet(f"{self.path}/sets")
         found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).write.mode("append").parquet(f"{self.path}/roots")
         return found.join(notices.select(F.col("id").alias("id_b")).distinct(), "id_b", "left_semi").select("id_a", "id_b")
+
+    def groups(self) -> DataFrame:
+        """(id_a, id_b) of all history: each notice that repeats one, with the earliest of its group."""
+        roots = self._read("roots", lambda: self.spark.createDataFrame([], "a long, b long"))
+        return components(roots).filter("node <> root").select(F.col("root").alias("id_a"), F.col("node").alias("id_b"))
+
+
+def repeats_in_batches(notices: DataFrame, hashes: DataFrame, first_run: DataFrame, path: str, batches: int = 3) -> DataFrame:
+    """(id_a, id_b) as ``repeats`` gives them, by taking the notices in batch by batch into an index at ``path``.
+
+    first_run: (id, run), the run that brought each notice. The first run is the first batch, the
+    others follow in ``batches - 1`` parts of equal numbers of runs; notices without a run come last.
+    """
+    spark = notices.sparkSession
+    last = first_run.agg(F.max("run")).first()[0] or 1
+    part = F.when(F.col("run") <= 1, 0).otherwise(1 + F.floor((F.coalesce("run", F.lit(last)) - 2) * (batches - 1) / max(1, last - 1))).cast("int")
+    brought = first_run.groupBy("id").agg(F.min("run").alias("run"))
+    batch = checkpointed(notices.select("id").distinct().join(brought, "id", "left").select("id", F.least(F.coalesce(part, F.lit(batches - 1)), F.lit(batches - 1)).alias("batch")))
+    sets = checkpointed(token_sets(notices))
+    index = HistoryIndex(spark, path)
+    for i in range(batches):
+        ids = batch.filter(F.col("batch") == i).select("id")
+        part_hashes = hashes.join(ids.withColumnRenamed("id", "notice_id"), "notice_id", "left_semi")
+        index.add(notices.join(ids, "id", "left_semi"), part_hashes, sets.join(ids, "id", "left_semi"))
+    return index.groups()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boilerplate, encoding, incremental, linkage, lookalikes, mixture, pii, reading, regions, spellings
-from .support import table
+from .support import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 P4_FIELDS = ["project_name", "project_no", "owner"]
@@ -59,6 +59,13 @@ def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.repeats(notices, table(spark, d, "notice_observation").select("notice_id", "content_hash"))
 
 
+def _p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    notices = table(spark, d, "project").select("id", "url", "source_site", "raw_text")
+    seen = table(spark, d, "notice_observation")
+    first = seen.filter("is_first_seen = 1").select(F.col("notice_id").alias("id"), F.col("run_id").alias("run"))
+    return incremental.repeats_in_batches(notices, seen.select("notice_id", "content_hash"), first, shared_folder(spark, "history-index"))
+
+
 def _p6_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "project").select(F.explode(F.array("owner", "tenderer")).alias("value"))
 
@@ -114,6 +121,7 @@ def queries() -> dict[str, Query]:
         "p4_found": _p4_found,
         "p4_plain": _p4_plain,
         "p5_found": _p5_found,
+        "p5_batches": _p5_batches,
         "p6_found": _p6_found,
         "p6_classes": _p6_classes,
         "p7_found": _p7_found,

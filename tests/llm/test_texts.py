@@ -181,6 +181,14 @@ def test_batches_equal_the_whole(spark, tmp_path):
     assert {(r.root, r.node) for r in components(done).filter("node <> root").collect()} == whole
 
 
+def test_late_batches_with_smaller_ids(spark, tmp_path):
+    rows = corpus(9, 90)
+    df, h = tables(spark, rows, [(r[0], f"h{r[0] % 41}") for r in rows])
+    runs = spark.createDataFrame([(r[0], 1 + (r[0] * 7) % 5) for r in rows if r[0] % 11], "id long, run long")
+    got = {(r.id_a, r.id_b) for r in incremental.repeats_in_batches(df, h, runs, str(tmp_path / "index")).collect()}
+    assert got == {(r.id_a, r.id_b) for r in incremental.repeats(df, h).collect()}
+
+
 def test_a_third_of_all_rows_in_one_group(spark):
     body = "。".join(f"同一句话{i}" for i in range(12))
     rows = [(i, "https://h.test/same" if i % 3 == 0 else None, "A", body if i % 3 == 1 else f"独{i}。有{i}") for i in range(1, 301)]
