@@ -34,7 +34,7 @@ from .support import checkpointed, small
 
 THRESHOLD = 0.5
 HOT = 50
-BUCKETS = 64
+BUCKETS = 64  # files of a batch and table; a larger history takes more
 #: Parameters of addresses that don't choose the page.
 TRACKING = r"^(?:utm_.*|_t|_|t|ts|from|spm|share.*|source|ref|timestamp|scene|isappinstalled)$"
 _WIDE = "".join(chr(c) for c in range(0xFF10, 0xFF1A)) + "".join(chr(c) for c in range(0xFF21, 0xFF3B)) + "".join(chr(c) for c in range(0xFF41, 0xFF5B))
@@ -199,8 +199,8 @@ class HistoryIndex:
         touched = near.select(F.explode(F.array("a", "b")).alias("b")).distinct()
         old_roots = roots.join(touched, "b", "left_semi").select("a", "b")
         found = checkpointed(components(near.unionByName(old_roots)).filter("node <> root").select(F.col("root").alias("id_a"), F.col("node").alias("id_b")))
-        keys.select("*", bucket).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
-        posted.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        keys.select("*", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
+        posted.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         sets.write.mode("append").parquet(f"{self.path}/sets")
         found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).write.mode("append").parquet(f"{self.path}/roots")
         return found.join(notices.select(F.col("id").alias("id_b")).distinct(), "id_b", "left_semi").select("id_a", "id_b")
