@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import boilerplate
-from .support import checkpointed, small
+from .support import BLANKS, checkpointed, small
 
 THRESHOLD = 0.5
 HOT = 50
@@ -43,14 +43,15 @@ _THIN = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 
 def page_of(url: Column) -> Column:
     """One form of the addresses of one page; null and blank stay null."""
-    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    whole = F.btrim(url, F.lit(BLANKS))
+    bare = F.regexp_replace(whole, "#.*$", "")
     host = F.lower(F.regexp_extract(bare, r"^(?i:https?:)?//([^/?#]*)", 1))
     host = F.regexp_replace(host, r":(?:80|443)$", "")
     rest = F.regexp_replace(bare, r"^(?i:https?:)?//[^/?#]*", "")
     path = F.regexp_replace(F.regexp_replace(F.split_part(rest, F.lit("?"), F.lit(1)), r"/(?:\./)+", "/"), "/{2,}", "/")
     query = F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&")
     query = F.array_sort(F.filter(query, lambda q: (q != "") & ~F.regexp_replace(q, "=.*$", "").rlike(TRACKING)))
-    return F.when(F.trim(url) != "", F.concat_ws("?", F.concat(host, F.regexp_replace(path, "/$", "")), F.array_join(query, "&")))
+    return F.when(whole != "", F.concat_ws("?", F.concat(host, F.regexp_replace(path, "/$", "")), F.array_join(query, "&")))
 
 
 def sentences(text: Column) -> Column:
