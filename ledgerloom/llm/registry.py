@@ -55,15 +55,17 @@ def _p4_plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The first import, then all later runs, taken into a stored index."""
     notices = table(spark, d, "project").select("id", "url", "source_site", "raw_text")
-    return incremental.repeats(notices, table(spark, d, "notice_observation").select("notice_id", "content_hash"))
+    seen = table(spark, d, "notice_observation")
+    first = seen.filter("is_first_seen = 1").select(F.col("notice_id").alias("id"), F.col("run_id").alias("run"))
+    return incremental.repeats_in_batches(notices, seen.select("notice_id", "content_hash"), first, shared_folder(spark, "history-index"), batches=2)
 
 
-def _p5_batches(spark: SparkSession, d: str) -> DataFrame:
+def _p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same groups from an index over all notices at once."""
     notices = table(spark, d, "project").select("id", "url", "source_site", "raw_text")
-    seen = table(spark, d, "notice_observation")
-    first = seen.filter("is_first_seen = 1").select(F.col("notice_id").alias("id"), F.col("run_id").alias("run"))
-    return incremental.repeats_in_batches(notices, seen.select("notice_id", "content_hash"), first, shared_folder(spark, "history-index"))
+    return incremental.repeats(notices, table(spark, d, "notice_observation").select("notice_id", "content_hash"))
 
 
 def _p6_values(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +123,7 @@ def queries() -> dict[str, Query]:
         "p4_found": _p4_found,
         "p4_plain": _p4_plain,
         "p5_found": _p5_found,
-        "p5_batches": _p5_batches,
+        "p5_whole": _p5_whole,
         "p6_found": _p6_found,
         "p6_classes": _p6_classes,
         "p7_found": _p7_found,
