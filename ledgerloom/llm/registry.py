@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boilerplate, encoding, incremental, linkage, lookalikes, mixture, pii, reading, regions, spellings
-from .support import shared_folder, table
+from .support import drop_folder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 P4_FIELDS = ["project_name", "project_no", "owner"]
@@ -59,7 +59,10 @@ def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     notices = table(spark, d, "project").select("id", "url", "source_site", "raw_text")
     seen = table(spark, d, "notice_observation")
     first = seen.filter("is_first_seen = 1").select(F.col("notice_id").alias("id"), F.col("run_id").alias("run"))
-    return incremental.repeats_in_batches(notices, seen.select("notice_id", "content_hash"), first, shared_folder(spark, "history-index"), batches=2)
+    path = shared_folder(spark, "history-index")
+    found = incremental.repeats_in_batches(notices, seen.select("notice_id", "content_hash"), first, path, batches=2)
+    drop_folder(spark, path)  # the groups are checkpointed apart from it
+    return found
 
 
 def _p5_whole(spark: SparkSession, d: str) -> DataFrame:

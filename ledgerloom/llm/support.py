@@ -30,6 +30,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | c.rlike(rf"^[{BLANK}]*$")
 
