@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -72,21 +73,22 @@ def first_fit(events: DataFrame, keys: list[str], day: str, tolerance: int = 7)
     """Adds leader: the first day of the event's group. A group takes all events of its key up to ``tolerance`` days after its first.
 
     This is greedy, no transitive closure: a chain of events a few days apart is cut anew each
-    time. Only the distinct days of a key, which the calendar bounds, are walked in one task.
-    Events without a day make a group of their own.
+    time. The distinct days of the keys are sorted within partitions and walked batch by batch, so
+    no group is ever held as a whole. Events without a day make a group of their own.
     """
     days = events.filter(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day")).distinct()
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_day")
-        leaders, first = [], None
-        for x in pdf["_day"]:
-            if first is None or (x - first).days > tolerance:
-                first = x
-            leaders.append(first)
-        return pdf.assign(leader=leaders)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, first = None, None
+        for b in batches:
+            leaders = []
+            for *key, x in b[[*keys, "_day"]].itertuples(index=False):
+                if key != now or (x - first).days > tolerance:
+                    now, first = key, x
+                leaders.append(first)
+            yield b.assign(leader=leaders)
 
     types = dict(days.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "_day"]) + ", leader date"
-    led = days.groupBy(*keys).applyInPandas(walk, schema).withColumnRenamed("_day", day)
+    led = days.repartition(*keys).sortWithinPartitions(*keys, "_day").mapInPandas(walk, schema).withColumnRenamed("_day", day)
     return events.join(led, [*keys, day], "left")

@@ -37,7 +37,7 @@ def negation_contexts(spark: SparkSession, d: str) -> DataFrame:
 def product_evidence(spark: SparkSession, d: str) -> DataFrame:
     """One row per notice and product named: sentences for and against, title hit, strength."""
     per = F.explode(F.array(*(F.struct(F.lit(p).alias("product"), F.col("sentence").rlike("|".join(ws)).alias("hit"), T.negated(F.col("sentence"), ws, BEFORE, AFTER).alias("no")) for p, ws in PRODUCTS.items()))).alias("e")
-    rows = _sentences(spark, d).select("id", "pos", per).filter("e.hit")
+    rows = _sentences(spark, d).filter(F.col("sentence").rlike("|".join(WORDS))).select("id", "pos", per).filter("e.hit")
     found = rows.groupBy("id", "e.product").agg(F.count_if(~F.col("e.no")).alias("positive"), F.count_if(F.col("e.no")).alias("negative"), F.min("pos").alias("first_pos"))
     strength = F.when(F.col("positive") == 0, 0).otherwise(F.least(F.lit(100), 40 + 20 * F.col("positive")) - F.when(F.col("negative") > 0, 20).otherwise(0))
     return found.withColumn("strength", strength.cast("int"))
