@@ -10,7 +10,7 @@ ceil(T n) tokens, so they share a token among the first n - ceil(T n) + 1 of eit
 posted. A token that more than HOT texts post would make a long posting list; texts post it
 together with each other token of the prefix longer by one, of which such a pair shares two, so
 nothing is lost and lists stay short. Equal sets are first taken as one by their hash, so copies
-of one text, however many, post once.
+of one text, however many, post once: of each set only one text of the first batch that holds it.
 
 The stored index (``HistoryIndex``) keeps exact keys, postings, token sets and the token order of
 the first batch, partitioned by a bucket of the key; a batch reads only the buckets' matching rows
@@ -176,9 +176,6 @@ class HistoryIndex:
         then those that the batch itself shows.
         """
         sets = checkpointed(token_sets(notices) if sets is None else sets)
-        if not self._has("order"):
-            frequencies(sets).write.parquet(f"{self.path}/order")
-        order = self.spark.read.parquet(f"{self.path}/order")
         text_keys = sets.select(F.struct(F.xxhash64("tokens").alias("x"), F.hash("tokens").alias("h")).alias("key"), "id")
         keys = checkpointed(exact_keys(notices, hashes).unionByName(text_keys))
         bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
@@ -186,14 +183,20 @@ class HistoryIndex:
         wanted = keys.select("*", bucket)
         old = known.join(wanted.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi").select("key", "id")
         links = same_key(old.unionByName(keys))
-        posted = checkpointed(postings(sets, order, unmatched=True)).select("*", F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        # copies are linked by the key of their text, so one of them posts, and none if an earlier batch has posted the text
+        unposted = text_keys.groupBy("key").agg(F.min("id").alias("id")).join(old.select("key").distinct(), "key", "left_anti")
+        one = checkpointed(sets.join(unposted, "id", "left_semi"))
+        if not self._has("order"):
+            frequencies(one).write.parquet(f"{self.path}/order")
+        order = self.spark.read.parquet(f"{self.path}/order")
+        posted = checkpointed(postings(one, order, unmatched=True)).select("*", F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
         past = self._read("postings", lambda: posted.limit(0)).withColumn("old", F.lit(True)).unionByName(posted.withColumn("old", F.lit(False)))
         a, b = past.alias("a"), posted.alias("b")
         # ids mostly grow from batch to batch, but a late batch may hold smaller ones
         fits = (F.least("a.size", "b.size") >= THRESHOLD * F.greatest("a.size", "b.size")) & F.when(F.col("a.old"), F.col("a.id") != F.col("b.id")).otherwise(F.col("a.id") < F.col("b.id"))
         pairs = checkpointed(a.join(b, ["bucket", "key", "second"]).filter(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-        past_sets = self._read("sets", lambda: sets.limit(0)).unionByName(sets)
-        links = links.unionByName(verified(pairs, past_sets, sets))
+        past_sets = self._read("sets", lambda: one.limit(0)).unionByName(one)
+        links = links.unionByName(verified(pairs, past_sets, one))
         roots = self._read("roots", lambda: self.spark.createDataFrame([], "a long, b long"))
         near = checkpointed(links)
         # groups formed before are joined on by their roots
@@ -202,7 +205,7 @@ class HistoryIndex:
         found = checkpointed(components(near.unionByName(old_roots)).filter("node <> root").select(F.col("root").alias("id_a"), F.col("node").alias("id_b")))
         keys.select("*", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
         posted.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        sets.write.mode("append").parquet(f"{self.path}/sets")
+        one.write.mode("append").parquet(f"{self.path}/sets")
         found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).write.mode("append").parquet(f"{self.path}/roots")
         return found.join(notices.select(F.col("id").alias("id_b")).distinct(), "id_b", "left_semi").select("id_a", "id_b")
 

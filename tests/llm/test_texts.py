@@ -197,6 +197,21 @@ def test_a_third_of_all_rows_in_one_group(spark):
     assert got == {(3, i) for i in range(6, 301, 3)} | {(1, i) for i in range(4, 301, 3)}
 
 
+def test_copies_post_once_in_the_index(spark, tmp_path):
+    body = [f"同一句话{i}" for i in range(12)]
+    near = body[:10] + ["改了的话"]
+    text = lambda i: "。".join(body if i % 3 == 1 else near if i in (60, 99) else [f"独{i}", f"有{i}"])
+    df, h = tables(spark, [(i, None, None, text(i)) for i in range(1, 121)], [(1, None)])
+    index = incremental.HistoryIndex(spark, str(tmp_path / "index"))
+    for batch in ("id between 41 and 80", "id <= 40", "id > 80"):
+        index.add(df.filter(batch), h)
+    for stored in ("sets", "postings"):
+        ids = [r.id for r in spark.read.parquet(str(tmp_path / "index" / stored)).select("id").distinct().collect()]
+        assert [i for i in ids if i % 3 == 1] == [43]
+        assert [i for i in ids if i in (60, 99)] == [60]
+    assert {(r.id_a, r.id_b) for r in index.groups().collect()} == {(1, i) for i in range(2, 121) if i % 3 == 1 or i in (60, 99)}
+
+
 def test_pages(spark):
     same = ["https://H.test/a/b.html", "http://h.test:80/a/b.html ", "HTTPS://h.test:443//a/./b.html#top", "https://h.test/a/b.html?utm_source=wx&from=timeline"]
     other = ["https://h.test/a/B.html", "https://h.test:8080/a/b.html", "https://h.test/a/b.html?id=1", "nonsense"]
