@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+#: Lines that change without the content, elements without text, elements without an end.
+VOLATILE = r"^(?:更新时间|更新日期|最后更新|发布时间戳|浏览(?:次数|量)?|点击(?:次数|量)?|访问量) ?[：:]"
+SKIPPED = {"script", "style", "noscript", "template"}
+VOID = {"area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"}
+#: Characters whose NFKC form is themselves, or one ASCII character that _WIDE has.
+_STABLE = r"\x00-\x7f\u00b7\u2013\u2014\u2018-\u201d\u3000-\u3002\u3008-\u3011\u4e00-\u9fff\uff01-\uff5e"
+_WIDE = "\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_THIN = " " + "".join(map(chr, range(0x21, 0x7F)))
 
 
 def reasons(checks: dict[str, Column]) -> Column:
@@ -35,6 +52,66 @@ def fingerprint(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.replace(squashed(f), F.lit("\x1f"), F.lit(" ")) for f in fields)), 256)
 
 
+class _Text(HTMLParser):
+    """The texts between tags, a line each."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.text: list[str] = []
+        self._open: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.text.append("\n")
+        if tag not in VOID:
+            self._open.append(tag)
+
+    def handle_endtag(self, tag):
+        self.text.append("\n")
+        if tag in self._open:
+            while self._open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not SKIPPED.intersection(self._open):
+            self.text.append(data)
+
+    def handle_comment(self, data):
+        self.text.append("\n")
+
+    handle_decl = handle_pi = handle_comment
+
+    def unknown_decl(self, data):
+        self.text.append("\n")
+        if data.upper().startswith("CDATA["):
+            self.handle_data(data[6:] + "\n")
+
+
+def normal_text(value: str) -> str:
+    """The business wording of a text: entities and tags resolved, NFKC, volatile and blank lines left out, blanks to one."""
+    value = html.unescape(value)
+    if "<" in value and ">" in value:
+        page = _Text()
+        page.feed(value)
+        page.close()
+        value = "".join(page.text)
+    value = unicodedata.normalize("NFKC", re.sub("[\u200b-\u200f\u2060\ufeff]", "", value))
+    lines = (re.sub(r"\s+", " ", x).strip() for x in re.split("[\r\n]", value))
+    return " ".join(x for x in lines if x and not re.match(VOLATILE, x))
+
+
+@pandas_udf(StringType())
+def _normal_texts(c: pd.Series) -> pd.Series:
+    return c.map(normal_text, na_action="ignore")
+
+
+def normalised(c: Column) -> Column:
+    """``normal_text`` as a column, null to empty; only values with markup or characters that NFKC may change leave the JVM."""
+    hard = c.rlike(rf"[&<]|[^{_STABLE}]")
+    lines = F.transform(F.split(F.translate(c, _WIDE, _THIN), r"[\r\n]"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\x0b\f\x1c-\x1f]+", " ")))
+    plain = F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(VOLATILE)), " ")
+    return F.coalesce(F.when(hard, _normal_texts(F.when(hard, c))).otherwise(plain), F.lit(""))
+
+
 def sent_dates(c: Column) -> Column:
     """Dates in the layouts 2025-01-31, 2025/1/31, 2025.1.31 and 2025年1月31日; null for anything else."""
     plain = F.regexp_replace(F.regexp_replace(F.trim(c), "[年月/.]", "-"), "日$", "")

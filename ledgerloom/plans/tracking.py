@@ -109,10 +109,17 @@ def recency_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter((F.col("published") >= F.date_sub(day, 30)) & (F.col("published") <= day))
 
 
+CONTENT = ["project_name", "project_no", "publish_date", "region", "owner", "tenderer", "project_stage", "construction_content", "raw_text"]
+
+
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    names = ["project_name", "project_no", "publish_date", "region", "owner", "tenderer", "project_stage", "construction_content", "raw_text"]
-    rows = table(spark, d, "project")
-    return rows.select("id", validation.fingerprint(*(F.col(n) for n in names)).alias("fingerprint"))
+    """Of the fields as they came, blanks apart; content_fingerprint_normal has the normal form."""
+    return table(spark, d, "project").select("id", validation.fingerprint(*map(F.col, CONTENT)).alias("fingerprint"))
+
+
+def content_fingerprint_normal(spark: SparkSession, d: str) -> DataFrame:
+    """Of the fields' business wording: without markup, zero-width characters, compatibility forms and volatile lines."""
+    return table(spark, d, "project").select("id", validation.fingerprint(*(validation.normalised(F.col(n)) for n in CONTENT)).alias("fingerprint"))
 
 
 def upsert_latest_by_key(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cdc_daily_rollup, cdc_flags, observation_repeats, source_status_latest, source_health_baseline, source_funnel, source_run_summary, run_reconciliation,
-        observation_violations, business_day_counts, validate_reject_reasons, reject_reason_counts, publish_dates, recency_filter, content_fingerprint,
+        observation_violations, business_day_counts, validate_reject_reasons, reject_reason_counts, publish_dates, recency_filter, content_fingerprint, content_fingerprint_normal,
         upsert_latest_by_key, version_differences, snapshot_merge_by_url, recent_topk, follow_up_topk, dynamic_predicate_scan, never_observed, seen_in_failed_runs, late_observations,
     )
 }

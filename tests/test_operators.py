@@ -50,6 +50,16 @@ def test_fingerprint_ignores_blanks_and_nulls(spark):
     assert one == two != three
 
 
+def test_fingerprint_of_the_normal_form(spark):
+    same = ["工程：一期（A）\n更新时间：2025-01-01\n第2标段", "工程:一期(A)\r\n浏览次数 : 17\r\n第2标段", "工程&#65306;一期(\u200bＡ)\r第２标段\u3000", "<p>工程：一期（A）<br>最后更新: 3</p><script>x()</script><!-- y -->第2标段", "工程：一期（A）\x0b\n\n第②标段"]
+    other = ["工程：一期（A）更新时间：2025-01-01 第2标段", "工程：一期（A）第2标段", "a < b & c > d", "<noscript>x</p>y</noscript>z<b>v", "", None, "ﬁ e\u0301 …\x85\x1c㎡", "<![CDATA[k]]>l&amp;lt;m"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(same + other)], "i int, x string")
+    got = [tuple(r) for r in df.select("x", validation.normalised(F.col("x")).alias("n"), validation.fingerprint(validation.normalised(F.col("x"))).alias("f"), "i").orderBy("i").collect()]
+    assert [n for _, n, _, _ in got] == [validation.normal_text(x or "") for x in same + other]
+    assert {n for _, n, _, _ in got[:5]} == {"工程:一期(A) 第2标段"} and len({f for _, _, f, _ in got[:5]}) == 1
+    assert [n for _, n, _, _ in got[5:]] == ["工程:一期(A)更新时间:2025-01-01 第2标段", "工程:一期(A)第2标段", "a < b & c > d", "z v", "", "", "fi é ... m2", "k l<m"]
+
+
 def test_dates_in_all_layouts(spark):
     df = spark.createDataFrame([("2025-01-31",), ("2025/1/31",), ("2025年1月31日",), ("2025-02-30",), ("soon",), (None,)], "d string")
     got = [r.x for r in df.select(validation.sent_dates(F.col("d")).alias("x")).collect()]
