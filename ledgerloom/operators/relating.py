@@ -15,12 +15,33 @@ def overlap(a: Column, b: Column, same: int, other: int) -> Column:
     return F.when(both & F.arrays_overlap(a, b), same).when(both, other).otherwise(0)
 
 
+def same_name_pairs(entities: DataFrame, most: int) -> DataFrame:
+    """(a, b) with a < b of entities of one name, whose number has no limit.
+
+    Up to ``most`` of a name make all pairs. Of a name that more share, those with equal attributes
+    are linked to the smallest id of them and only these smallest ids make pairs: the score and
+    relation of any other two are those of the ids they are linked to.
+    """
+    sets = ["regions", "owners", "identifiers", "phases"]
+    named = entities.filter("name <> ''").select("id", "name", *(F.array_sort(c).alias(c) for c in sets))
+    sizes = linking.block_sizes(named.select(F.col("name").alias("key")))
+    small = named.join(sizes.filter(F.col("size").between(2, most)).select(F.col("key").alias("name")), "name", "left_semi")
+    hot = named.join(sizes.filter(F.col("size") > most).select(F.col("key").alias("name")), "name", "left_semi")
+    firsts = hot.groupBy("name", *sets).agg(F.min("id").alias("a"))
+    links = hot.join(firsts, ["name", *sets]).filter("id > a").select("a", F.col("id").alias("b"))
+    ends = small.select("name", "id").unionByName(firsts.select("name", F.col("a").alias("id")))
+    x, y = ends.alias("x"), ends.alias("y")
+    return links.unionByName(x.join(y, (F.col("x.name") == F.col("y.name")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+
+
 def related(entities: DataFrame, keys: DataFrame, least: int = 60) -> DataFrame:
-    """(a, b, score, relation) of entities that share a block and score at least ``least`` of 100.
+    """(a, b, score, relation) of entities that share a name or a block and score at least ``least`` of 100.
 
+    Blocks of more than 20 make no pairs, names have no limit (``same_name_pairs``).
     entities: (id, name, regions, owners, identifiers, phases), the last four arrays; keys: (key, id).
     """
-    pairs = linking.with_both(linking.blocked_pairs(keys, most=20), entities, "id", ["name", "regions", "owners", "identifiers", "phases"])
+    pairs = linking.blocked_pairs(keys, most=20).unionByName(same_name_pairs(entities, most=20)).distinct()
+    pairs = linking.with_both(pairs, entities, "id", ["name", "regions", "owners", "identifiers", "phases"])
     contained = F.contains("a_name", F.col("b_name")) | F.contains("b_name", F.col("a_name"))
     name = F.when(F.col("a_name") == F.col("b_name"), 55).when(contained, 40).otherwise(30)
     score = name + overlap(F.col("a_identifiers"), F.col("b_identifiers"), 30, 0) + overlap(F.col("a_regions"), F.col("b_regions"), 10, -25) + overlap(F.col("a_owners"), F.col("b_owners"), 10, -20) + overlap(F.col("a_phases"), F.col("b_phases"), 5, -10)

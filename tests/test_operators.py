@@ -77,6 +77,27 @@ def test_single_or_empty_and_shortest(spark, rows):
     assert rows(out) == [("a", "x", "x"), ("b", "", "x"), ("c", None, None)] or rows(out) == [("a", "x", "x"), ("b", "", "x"), ("c", "", None)]
 
 
+def test_a_name_of_many_entities_keeps_its_relations(spark):
+    from itertools import combinations
+
+    from ledgerloom.operators import relating
+
+    schema = "id long, name string, regions array<string>, owners array<string>, identifiers array<string>, phases array<int>"
+    made = [(i, "甲路工程", [["R"], ["S"], []][i % 3], ["O"], [], [1] if i % 2 else []) for i in range(1, 31)] + [(i, "乙路", ["R"], [], [], []) for i in (40, 41)]
+    e = spark.createDataFrame(made, schema)
+    k = spark.createDataFrame([(key, r[0]) for r in made for key in ("甲路", "路")], "key string, id long")
+    got = {(r.a, r.b): (r.score, r.relation) for r in relating.related(e, k).collect()}
+    few = spark.createDataFrame([(2 * (100 * a + b) + j, f"{a}-{b}", *made[i - 1][2:]) for a, b in combinations(range(1, 31), 2) for j, i in enumerate((a, b))], schema)
+    each = {divmod(r.a // 2, 100): (r.score, r.relation) for r in relating.related(few, k.limit(0)).collect()}
+    first = {i: min(r[0] for r in made if r[2:] == made[i - 1][2:]) for i in range(1, 31)}
+    links = {(first[i], i) for i in first if first[i] < i}
+    for (a, b), want in each.items():
+        x, y = sorted((first[a], first[b]))
+        assert got[(x, y) if x < y else (x, max(a, b))] == want
+    assert got.pop((40, 41)) == (65, "SAME")
+    assert set(got) <= set(each) and {p for p in got if p[0] != first[p[0]] or p[1] != first[p[1]]} <= links
+
+
 def test_components_with_a_hot_node_and_a_chain(spark):
     star = [(0, i) for i in range(1, 500)]
     chain = [(1000 + i, 1001 + i) for i in range(60)]
