@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ..session import checkpointed
+
 
 def blocks(rows: DataFrame, id_col: str, keys: Column) -> DataFrame:
     """(key, id): one row per key of each record; keys is an array, ids are unique."""
@@ -33,6 +35,26 @@ def blocked_pairs(keyed: DataFrame, least: int = 2, most: int = 25) -> DataFrame
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def similar_sets(rows: DataFrame, items: Callable[[Column], Column], percent: int) -> DataFrame:
+    """(a, b) with a < b of all values of one group whose sets have a Jaccard of at least ``percent`` of 100; no block is left out.
+
+    rows: (id, group, value); items makes the set of a value. Sets of n items that are so similar
+    share at least ceil(percent n / 100) of them, so they share one of the n + 1 less that number
+    that are rarest: only these are joined, by their hashes, and the values compared after it.
+    """
+    hashed = rows.select("id", F.size(items(F.col("value"))).alias("n"), F.explode(F.transform(items(F.col("value")), lambda x: F.xxhash64("group", x))).alias("key"))
+    counts = hashed.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = hashed.join(counts, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("p"))
+    first = F.expr(f"cast(n + 1 - ({percent} * n + 99) div 100 as int)")
+    posted = checkpointed(ranked.select("id", "n", F.explode(F.slice("p", F.lit(1), first)).alias("k")).select("id", "n", F.col("k.key").alias("key")))
+    a, b = posted.alias("a"), posted.alias("b")
+    fits = (F.col("a.id") < F.col("b.id")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    pairs = a.join(b, "key").filter(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    both = with_both(pairs, rows, "id", ["group", "value"]).filter("a_group = b_group")
+    x, y = items(F.col("a_value")), items(F.col("b_value"))
+    return both.filter(100 * F.size(F.array_intersect(x, y)) >= percent * F.size(F.array_union(x, y))).select("a", "b")
+
+
 def with_both(pairs: DataFrame, records: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Adds a_<field> and b_<field> of both ends."""
     left = records.select(F.col(id_col).alias("a"), *(F.col(f).alias(f"a_{f}") for f in fields))

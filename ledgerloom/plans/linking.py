@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import linking
 from ..operators.components import components
+from ..session import checkpointed
 from .tables import table
 from .texts import SUFFIXES
 
@@ -32,8 +33,22 @@ def ngram_blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
     return linking.blocked_pairs(_keyed(spark, d))
 
 
-def _compared(spark: SparkSession, d: str) -> DataFrame:
-    return linking.with_both(ngram_blocking_pairs(spark, d), _named(spark, d), "id", ["name", "owner", "province", "source_site", "created_at"])
+def _whole_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) with a < b of all records of one province whose names are equal, have a 3-gram Jaccard of at least 0.55, or one of at least 8 characters begins the other. rows: (id, province, name)."""
+    rows = checkpointed(rows.filter("province <> '' and name <> ''").select("id", "province", "name"))
+    names = checkpointed(rows.groupBy("province", "name").agg(F.min("id").alias("id")))
+    alike = linking.similar_sets(names.select("id", F.col("province").alias("group"), F.col("name").alias("value")), lambda c: T.ngrams(c, 3), 55)
+    cut = names.filter("length(name) > 8").select(F.col("id").alias("b"), "province", F.explode(F.transform(F.sequence(F.lit(8), F.length("name") - 1), lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("name"))
+    begun = cut.join(names, ["province", "name"]).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    pairs = alike.unionByName(begun).distinct().unionByName(names.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    # names are compared once, then stand for all records that bear them
+    bear = rows.join(names.withColumnRenamed("id", "first"), ["province", "name"])
+    both = pairs.join(bear.select(F.col("first").alias("a"), F.col("id").alias("x")), "a").join(bear.select(F.col("first").alias("b"), F.col("id").alias("y")), "b")
+    return both.filter("a <> b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _compared(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
+    return linking.with_both(ngram_blocking_pairs(spark, d) if pairs is None else pairs, _named(spark, d), "id", ["name", "owner", "province", "source_site", "created_at"])
 
 
 def ngram_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +56,9 @@ def ngram_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return both.select("a", "b", F.round(T.jaccard(T.ngrams(F.col("a_name"), 3), T.ngrams(F.col("b_name"), 3)), 4).alias("jaccard"))
 
 
-def pair_score_additive(spark: SparkSession, d: str) -> DataFrame:
+def _scored(compared: DataFrame) -> DataFrame:
     """Pairs with a score of at least 75 of 100, added up from name, owner, source and time."""
-    both = _compared(spark, d).withColumn("jaccard", T.jaccard(T.ngrams(F.col("a_name"), 3), T.ngrams(F.col("b_name"), 3)))
+    both = compared.withColumn("jaccard", T.jaccard(T.ngrams(F.col("a_name"), 3), T.ngrams(F.col("b_name"), 3)))
     contained = (F.least(F.length("a_name"), F.length("b_name")) >= 8) & (F.startswith("a_name", F.col("b_name")) | F.startswith("b_name", F.col("a_name")))
     name = F.when(F.col("a_name") == F.col("b_name"), 45).when(contained, 38).when(F.col("jaccard") >= 0.65, 35).when(F.col("jaccard") >= 0.55, 30).otherwise(0)
     owner = F.when((F.col("a_owner") != "") & (F.col("a_owner") == F.col("b_owner")), 25).otherwise(0)
@@ -54,6 +69,15 @@ def pair_score_additive(spark: SparkSession, d: str) -> DataFrame:
     return both.filter(name > 0).select("a", "b", score.alias("score")).filter("score >= 75").withColumn("level", F.when(F.col("score") >= 90, "HIGH").otherwise("MEDIUM"))
 
 
+def pair_score_additive(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(_compared(spark, d))
+
+
+def pair_score_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same scores over all pairs of a province that can reach 75, however common their n-grams are."""
+    return _scored(_compared(spark, d, _whole_pairs(_named(spark, d))))
+
+
 def matching_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Ratcliff-Obershelp ratio of the pairs whose n-grams don't settle the matter."""
     both = _compared(spark, d).withColumn("jaccard", T.jaccard(T.ngrams(F.col("a_name"), 3), T.ngrams(F.col("b_name"), 3)))
@@ -115,7 +139,7 @@ def event_groups(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ngram_block_sizes, ngram_blocking_pairs, ngram_jaccard_pairs, pair_score_additive, matching_ratio_pairs, candidate_queue_merge, components_min_label,
+        ngram_block_sizes, ngram_blocking_pairs, ngram_jaccard_pairs, pair_score_additive, pair_score_whole, matching_ratio_pairs, candidate_queue_merge, components_min_label,
         cluster_conflicts, cluster_names, duplicate_audit, event_first_fit, event_groups,
     )
 }

@@ -111,6 +111,26 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_whole_pairs_equal_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    from ledgerloom.plans.linking import _whole_pairs
+
+    rng = random.Random(3)
+    made = [(i, rng.choice("PPQ"), "河北省兰璟市琼道路" + "".join(rng.choice("东西桥") for _ in range(rng.randint(0, 9)))) for i in range(1, 81)] + [(81, "", "河北"), (82, "P", ""), (83, "P", "短"), (84, "P", "短")]
+    grams = lambda s: {s[i : i + 3] for i in range(max(1, len(s) - 2))}
+
+    def fits(x, y):
+        begins = min(len(x), len(y)) >= 8 and (x.startswith(y) or y.startswith(x))
+        return begins or len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= 0.55
+
+    want = sorted((a, b) for (a, p, x), (b, q, y) in combinations(made, 2) if p == q != "" and x and y and fits(x, y))
+    df = spark.createDataFrame(made, "id long, province string, name string")
+    assert sorted((r.a, r.b) for r in _whole_pairs(df).collect()) == want
+    assert (83, 84) in want and len(want) > 500
+
+
 def test_blocks_over_the_limit_make_no_pairs(spark, rows):
     keyed = spark.createDataFrame([("k", i) for i in range(30)] + [("m", 1), ("m", 2), ("x", 5)], "key string, id long")
     assert rows(linking.blocked_pairs(keyed)) == [(1, 2)]
