@@ -5,9 +5,8 @@ hash of the line after dropping blanks at both ends and taking every run of digi
 grow by one line a level, from projected sequences that are first merged where equal, so a site
 whose thousands of documents carry the same furniture costs one row a distinct furniture sequence.
 
-Deleting all occurrences of all frequent sequences equals deleting all occurrences of the frequent
-single lines: every line of a frequent sequence is frequent itself, and single lines are sequences.
-So the deletion reads only level 1; longer sequences are for the report.
+Every line of a frequent sequence is frequent itself, and single lines are sequences, so sequences of
+more lines than ``longest`` add no line to what is deleted; they only lengthen the report.
 """
 
 from __future__ import annotations
@@ -47,10 +46,11 @@ def repeated(docs: DataFrame, id_col: str = "id", source: str = "source_site", t
     """(id, line_no) of every line that its source repeats; line_no counts from 1.
 
     Null and empty texts and rows without a source give no rows; an empty table gives an empty
-    result. Documents given twice count twice, as two documents.
+    result. Documents given twice count twice, as two documents. The lines are those of all
+    sequences that PrefixSpan finds frequent, single ones included.
     """
     lines = with_lines(docs, id_col, source, text)
-    often = small(frequent_lines(lines, support_needed(lines)))
+    often = small(frequent_sequences(docs, id_col, source, text).select("source", F.explode("sequence").alias("line")).distinct())
     at = lines.select("id", "source", F.posexplode("lines").alias("at", "line")).filter("line is not null")
     return at.join(often, ["source", "line"], "left_semi").select("id", (F.col("at") + 1).alias("line_no"))
 

@@ -2,9 +2,11 @@
 
 A value is brought to one plain form in three steps: characters that aren't seen are deleted and
 base letters composed with their accents; every character that isn't regular is replaced by its
-compatibility form; letters that have look-alikes in the Latin script span a lattice per token, in
-which Viterbi finds the likeliest path under character bigrams counted over all plain values, with
-a price for changing the script inside a token. A value is disguised if its plain form differs.
+compatibility form; letters span a lattice of their look-alikes per token, in which Viterbi finds the likeliest path
+under character bigrams counted over all plain values, with a price for changing the script inside
+a token. Where a text has Greek or Cyrillic letters that no Latin one looks like, the lattice leads
+to that script too, so Latin letters inside such a word are mended as well. A value is disguised if
+its plain form differs.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ TOKEN = r"[0-9A-Za-zÀ-ɏͰ-ϿЀ-ӿ]+"
 _REGULAR = re.compile(REGULAR)
 _ALNUM = re.compile(r"[0-9A-Za-z]")
 _DASHES = set("‐‑‒–—―−﹣－﹘")
+#: Scripts beside Latin in which whole words are written with letters that look like others.
+SCRIPTS = ("GREEK", "CYRILLIC")
 SWITCH = 6.0  # price of a change of script inside a token, in nats
 
 
@@ -58,14 +62,25 @@ class Plain:
             self.after[a] += n
         self.counts, self.size = counts, 1 + len({b for _, b in counts})
         by_class = defaultdict(list)
-        for c in map(chr, range(0x21, 0x7F)):
+        for c in [*map(chr, range(0x21, 0x7F)), *(c for c in tables.alike if script(c) in SCRIPTS)]:
             by_class[tables.alike.get(c, c)].append(c)
+
+        def same_case(c: str, like: list[str]) -> list[str]:
+            like = [x for x in like if x.isdigit() or x.isupper() == c.isupper()] or like
+            seen = tables.alike.get(c.upper(), c.upper())  # letters that look alike in both cases come first
+            return [x for x in like if tables.alike.get(x.upper(), x.upper()) == seen] or like
+
         #: look-alikes of a letter of another script among ASCII letters and digits, same case first
         self.choices = {}
         for c, a in tables.alike.items():
-            if not c.isascii() and script(c) not in ("", "CJK", "KANGXI") and (like := [x for x in by_class.get(a, []) if x.isalnum()]):
-                same = [x for x in like if x.isdigit() or x.isupper() == c.isupper()]
-                self.choices[c] = same or like
+            if not c.isascii() and script(c) not in ("", "CJK", "KANGXI") and (like := [x for x in by_class.get(a, []) if x.isascii() and x.isalnum()]):
+                self.choices[c] = same_case(c, like)
+        #: look-alikes of any letter or digit in each script whose words may be spoilt by letters of another
+        self.other = defaultdict(dict)
+        for c in {*map(chr, range(0x30, 0x7B)), *tables.alike}:
+            like = [x for x in by_class.get(tables.alike.get(c, c), []) if x != c and script(x) in SCRIPTS] if c.isalpha() else []
+            for s in {script(x) for x in like} - {script(c)}:
+                self.other[s][c] = same_case(c, [x for x in like if script(x) == s])
         self.alike = tables.alike
 
     def score(self, a: str, b: str) -> float:
@@ -79,12 +94,12 @@ class Plain:
             plain = self.alike.get(c, c)
         return plain.replace("−", "-").replace("　", " ")
 
-    def best(self, token: str, foreign: bool) -> str:
-        """The likeliest path through the look-alikes of a token; foreign: the text has letters that only another script has."""
+    def best(self, token: str, foreign: str) -> str:
+        """The likeliest path through the look-alikes of a token; foreign: the script whose letters without Latin look-alikes the text has, or ''."""
         ends: dict[str, tuple[float, str]] = {"^": (0.0, "")}
         for c in token:
             new: dict[str, tuple[float, str]] = {}
-            for x in [*self.choices.get(c, []), c]:
+            for x in [*self.choices.get(c, []), *self.other.get(foreign, {}).get(c, []), c]:
                 own = x == c and c in self.choices
                 price = (-SWITCH if foreign else SWITCH) if own else 0.0
                 best, way = max((s + self.score(a, x) - (SWITCH if script(a) and script(x) and script(a) != script(x) else 0.0), w) for a, (s, w) in ends.items())
@@ -101,10 +116,10 @@ class Plain:
             else:
                 out.append(c if _REGULAR.match(c) else self.compatible(c))
         plain = "".join(out)
-        if any(c in self.choices for c in plain):
-            letters = [c for c in plain if script(c) not in ("", "CJK")]
-            foreign = any(script(c) != "LATIN" and c not in self.choices for c in letters)
-            plain = re.sub(TOKEN, lambda m: self.best(m[0], foreign) if any(c in self.choices for c in m[0]) else m[0], plain)
+        if any(c in self.choices or script(c) in SCRIPTS for c in plain):
+            own = [script(c) for c in plain if script(c) in SCRIPTS and c not in self.choices]
+            foreign = max(SCRIPTS, key=own.count) if own else ""
+            plain = re.sub(TOKEN, lambda m: self.best(m[0], foreign) if any(c in self.choices or script(c) in SCRIPTS for c in m[0]) else m[0], plain)
         return plain
 
 

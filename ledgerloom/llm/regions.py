@@ -46,7 +46,11 @@ class Entry(NamedTuple):
 
 
 def distance(a: str, b: str, sound: dict[str, str]) -> float:
-    """Weighted Damerau-Levenshtein distance (optimal string alignment)."""
+    """Weighted Damerau-Levenshtein distance (optimal string alignment).
+
+    Characters of the same sound cost 0.5, a doubled one 0.4, swapped neighbours 0.5. All characters
+    in another order count as one slip of the pen: 0.5 where both ends stay, else 0.8.
+    """
     if sorted(a) == sorted(b) and len(a) > 2 and a != b:
         return 0.8 if a[0] != b[0] or a[-1] != b[-1] else 0.5
     rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -92,6 +96,7 @@ class Resolver:
                 for d in deletions(read(e.base), 2):
                     self.latin_index[d].add((read(e.base), e))
         self.longest = max(map(len, self.by_base), default=0)
+        self.longest_latin = max((len(read(b)) for b in self.by_base), default=0)
 
     def province_of(self, token: str, first: bool) -> tuple[str, str]:
         """(province, rest) if the token begins with one; by a short form only the first that is named."""
@@ -148,7 +153,8 @@ class Resolver:
             rest = rest.removeprefix(r).removesuffix(r)
         best: dict[int, tuple[float, int]] = {}
         for form in {rest, *(rest.removesuffix(k) for k in KINDS.values())}:
-            for d in deletions(form, 2) if 0 < len(form) < 20 else ():
+            # a form longer by three than every key is more than two deletions from all of them
+            for d in deletions(form, 2) if 0 < len(form) <= self.longest_latin + 2 else ():
                 for key, e in self.latin_index.get(d, ()):
                     if not province or e.province == province:
                         cost = distance(form, key, {})
@@ -216,17 +222,24 @@ def resolver(reference: DataFrame, values: DataFrame, value: str):
     return found
 
 
+def _mapped(rows: DataFrame, reference: DataFrame, id_col: str, value: str) -> DataFrame:
+    names = F.broadcast(reference.select(F.col("region_name").alias("value")))  # the list is bounded by MOST_ENTRIES
+    odd = rows.select(F.col(id_col).alias("id"), F.col(value).alias("value")).filter(~is_blank(F.col("value"))).join(names, "value", "left_anti")
+    return odd.select("id", "value", resolver(reference, rows, value)("value").alias("region_id"))
+
+
 def mapped(rows: DataFrame, reference: DataFrame, id_col: str = "id", value: str = "region") -> DataFrame:
     """(id, region_id) of the rows whose value isn't null or blank and isn't exactly a name of the list.
 
     region_id is 0 for a value that means no entry or several (a miss). An empty table gives an
     empty result; repeated rows are mapped each.
     """
-    names = F.broadcast(reference.select(F.col("region_name").alias(value)))  # the list is bounded by MOST_ENTRIES
-    odd = rows.select(F.col(id_col).alias("id"), value).filter(~is_blank(F.col(value))).join(names, value, "left_anti")
-    return odd.select("id", resolver(reference, rows, value)(value).alias("region_id"))
+    return _mapped(rows, reference, id_col, value).select("id", "region_id")
 
 
 def misses(rows: DataFrame, reference: DataFrame, id_col: str = "id", value: str = "region") -> DataFrame:
-    """(value, n): the values that mean no entry, with the number of rows holding them."""
-    return mapped(rows, reference, id_col, value).filter("region_id = 0").join(rows.select(F.col(id_col).alias("id"), value), "id").groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    """(value, n): the values that mean no entry, with the number of rows holding them.
+
+    Rows that share an id or are given twice count each.
+    """
+    return _mapped(rows, reference, id_col, value).filter("region_id = 0").groupBy("value").agg(F.count("*").alias("n"))

@@ -102,6 +102,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """All rows of reference data that may be held on the driver; more than ``most`` are refused, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return rows
+
+
 def sampled(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """About ``most`` rows at the most, chosen by a hash of the keys; all rows if they are fewer."""
     n = df.count()

@@ -32,6 +32,11 @@ def test_regions(spark, rows, reference):
     assert lost["鹭洲"] == 1 and lost[list(VALUES)[21]] == 2
 
 
+def test_misses_count_rows_that_share_an_id(spark, reference):
+    df = spark.createDataFrame([(1, "全国"), (1, "全国"), (1, "全国"), (2, "chengchuan" * 3)], "id long, region string")
+    assert {r.value: r.n for r in regions.misses(df, reference).collect()} == {"全国": 3, "chengchuan" * 3: 1}
+
+
 def test_regions_of_odd_input(spark, reference):
     assert regions.mapped(spark.createDataFrame([], "id long, region string"), reference).count() == 0
     long = spark.createDataFrame([(1, "北京" * 50_000), (1, "冀"), (1, "冀")], "id long, region string")
@@ -63,6 +68,12 @@ def test_plain_forms(spark, rows):
     assert rows(lookalikes.disguised(df, ["value"]), "id") == sorted(((i,) for i in range(len(cases))), key=str)
 
 
+def test_latin_letters_in_words_of_another_script(spark):
+    df = spark.createDataFrame([(1, "BETOHHЫЙ завoд"), (2, "Λόγoς"), (3, "БЕТОН ABC-12"), (4, "ABC12")], "id long, value string")
+    got = {r.id: r.plain for r in lookalikes.plain_forms(df, ["value"]).collect()}
+    assert got == {1: "ВЕТОННЫЙ завод", 2: "Λόγος", 3: "БЕТОН ABC-12", 4: "ABC12"}
+
+
 def test_plain_forms_keep_real_scripts_and_long_texts(spark):
     df = spark.createDataFrame([(1, "Москва"), (2, "Ｘ" * 20_000), (3, "​")], "id long, value string")
     got = {r.id: r.plain for r in lookalikes.plain_forms(df, ["value"]).collect()}

@@ -45,6 +45,40 @@ def test_personal_information_of_nothing(spark):
     assert pii.redacted(spark.createDataFrame([], "id long, raw_text string"), reference(spark)).count() == 0
 
 
+def test_anchors_leave_out_no_candidate():
+    find = pii.Finder(["澄川区"], ["北京市", "北京"])
+    rng = random.Random(4)
+    words = [w.replace(" ", x) for w in (*pii.BEFORE, *pii.LISTS, *pii.ACTS, *pii.TITLES, *pii.DETAILS) for x in ("", " ")]
+    lines = [f"{a}{m}王建国{m}{b}" for a in words for m in (":", "：", "", " ", "(") for b in ("", "。", "、李晓明", *rng.sample(words, 3))]
+    lines += [f"{a}王建国{b}" for a in ("（", "1(", "与", ",", "") for b in words + ["(13812345678)", "，138－1234－5678", ", +86 13812345678", "）"]]
+    lines += ["138－1234－5678", "a [at] b.cn", "a@b.cn", "（0319）1319165", "北京澄川区涵朗西路223号", "名单：" + "、".join(["王建国"] * 300), "CONTACT: Wang Jianguo", "attn:Wang Jianguo, tel"]
+    rng.shuffle(lines)
+    text = "\n".join(lines)
+    key = lambda x: (x[0], *x[2])
+    every = sorted(find(text, anchored=False), key=key)
+    assert sorted(find(text), key=key) == every and len(every) > len(lines) / 2
+    said = {x[1][x[2].start : x[2].end] for x in every}
+    assert {"王建国", "138-1234-5678", "a@b.cn", "Wang Jianguo"} <= said
+    assert sum(x[1].startswith("名单") and x[2].kind == "name" for x in every) == 300
+
+
+def test_names_by_any_label(spark):
+    labels = ["安全员：", "质检员:", "施工员:", "寄件人:", "供稿：", "联系人："]
+    df = spark.createDataFrame([(i, f"{labels[i % 6]}王建国\n组长：陈小明、李建军") for i in range(60)], "id long, raw_text string")
+    got = {}
+    for r in pii.found(df, reference(spark)).collect():
+        got.setdefault(r.id, set()).add(r.pii_value)
+    assert all(got[i] == {"王建国", "陈小明", "李建军"} for i in range(60))
+
+
+def test_a_gazetteer_beyond_its_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ENTRIES", 3)
+    import pytest
+
+    with pytest.raises(ValueError):
+        pii.places(reference(spark))
+
+
 def test_reliabilities_find_the_good_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.4
@@ -53,8 +87,12 @@ def test_reliabilities_find_the_good_labelers():
         said = np.where(rng.random(5000) < good, truth, ~truth)
         votes[:, j] = np.where(rng.random(5000) < 0.8, said * 2, 1)
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    p = pii.span_classifier(patterns, counts.astype(float), pii.reliabilities(patterns, counts.astype(float)))
-    assert ((p[where.ravel()] >= 0.5) == truth).mean() > 0.9
+    likely = pii.reliabilities(patterns, counts.astype(float))[where.ravel()]
+    places = rng.integers(0, pii.PLACES, (5000, 3))
+    places[:, 0] = truth * 7  # a context that tells, beside two that don't
+    w = pii.span_classifier(votes, places, likely, np.ones(5000))
+    p = pii.scored(["name"] * 5000, [pii._votes(*(v - 1)) for v in votes], list(places), {"name": w})
+    assert ((likely >= 0.5) == truth).mean() > 0.9 and ((p >= 0.5) == truth).mean() > 0.95
 
 
 def furniture(site, rng, n):
