@@ -10,8 +10,11 @@ one of them. The full score is then taken over all shared terms.
 A notice's best entry counts if it passes a mutual-nearest test (several notices may belong to one
 work, so the entry's side asks that the notice reaches MUTUAL of the entry's best score) and if its
 confidence, a logistic calibration over relative score, gap to the second best and agreement of the
-attributes, is at least one half. The calibration is fitted on silver labels: pairs that share a
-project number (as positives, with numbers left out of the features), and runners-up of these.
+attributes, is at least one half. The calibration is fitted around prior weights on silver labels:
+pairs that share a project number (as positives, with numbers left out of the features), and
+runners-up of these. The weight of a shared number itself comes from the other side: how much more
+often pairs whose attributes agree share one than runners-up do. A number that more than SHARED
+entries hold (plans of many works) still is a term of the search but names no work.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookalikes import REGULAR, Plain, bigrams, fields
+from .pii import places
 from .regions import Resolver, entries_of
-from .spellings import Parser, _gazetteer
+from .spellings import Parser, vocabulary
 from .support import char_tables, checkpointed, once, sampled
 
 SHARE = 0.22
@@ -35,7 +39,11 @@ MUTUAL = 0.35
 K1, B = 1.2, 0.3
 #: Pairs taken into the fit of the calibration, by hash of their ids.
 FITTED = 5_000
-FEATURES = ("relative", "gap", "work", "place", "owner_same", "owner_other", "region_same", "region_other", "phase_same", "phase_other", "phase_missing")
+FEATURES = ("relative", "gap", "work", "place", "owner_same", "owner_other", "region_same", "region_other", "phase_same", "phase_other", "phase_missing", "neither", "phase_lone")
+#: What every match should have, as prior weights of the calibration (constant first), so that a small or one-sided sample stays sane.
+PRIOR = (-4.0, 2.0, 2.0, 3.0, 1.0, 1.5, -1.5, 1.0, -9.0, 1.5, -12.0, -3.0, -12.0, -9.0)
+#: A number that more register entries than this share names no work; the shortest that may name one.
+SHARED, SHORTEST = 2, 6
 _REGULAR = re.compile(f"{REGULAR}*")
 #: Digits of phases.
 DIGITS = {"一": "1", "二": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9", "十": "10", "I": "1", "II": "2", "III": "3", "IV": "4", "V": "5", "Ⅰ": "1", "Ⅱ": "2", "Ⅲ": "3"}
@@ -53,6 +61,7 @@ class Bag:
 
     def __init__(self, plain: Plain, parser: Parser, resolver: Resolver):
         self.plain, self.parser, self.resolver = plain, parser, resolver
+        self.districts = {e.id for found in resolver.by_base.values() for e in found}
         self.regions: dict[str, int] = {}
         self.owners: dict[str, str] = {}
 
@@ -102,29 +111,31 @@ class Bag:
         s = re.sub(r"-?(?:SG|BD|TJ)\d*$", "", s.replace(" ", ""))
         return re.sub(r"[^0-9A-Z]", "", s)
 
-    def __call__(self, name: str | None, owner: str | None, region: str | None, numbers: list[str]) -> tuple[str, str, str, int, str, list[str]]:
+    def __call__(self, name: str | None, owner: str | None, region: str | None, numbers: list[str]) -> tuple[str, str, str, int, bool, str, list[str]]:
         work, phase, named = self.name(self.clean(name))
         sound = "".join(self.parser.read(work))
         place = "".join(self.parser.read(work[:3]))
         typed = self.region(self.clean(region))
         # a district beats a province, and the name, where it says one, beats the field
-        return sound, place, phase, named if named > 3 else typed or named, self.owner(self.clean(owner)), sorted({n for x in numbers if len(n := self.number(x or "")) >= 6})
+        region_id = named if named in self.districts else typed or named
+        return sound, place, phase, region_id, region_id not in self.districts, self.owner(self.clean(owner)), sorted({n for x in numbers if (n := self.number(x or ""))})
 
 
 def bags(records: DataFrame, reference: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, work, place, phase, region, owner, numbers). records: (id, name, owner, region, numbers)."""
+    """(id, work, place, phase, region, wide, owner, numbers), wide where the region is no district. records: (id, name, owner, region, numbers)."""
     spark = records.sparkSession
-    tables, gazetteer = char_tables(spark), _gazetteer(reference)
+    tables, gazetteer = char_tables(spark), places(reference)
+    words = vocabulary(model.select("owner").filter("owner is not null").distinct(), "owner")
     counts = spark.sparkContext.broadcast(bigrams(fields(model, "id", ["name", "owner"])))
     entries = spark.sparkContext.broadcast(entries_of(reference, model, "region"))
     key = uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bag = once(key, lambda: Bag(Plain(tables.value, counts.value), Parser(tables.value, *gazetteer), Resolver(entries.value, tables.value)))
+        bag = once(key, lambda: Bag(Plain(tables.value, counts.value), Parser(tables.value, *gazetteer, words), Resolver(entries.value, tables.value)))
         for b in batches:
-            yield pd.DataFrame([(r[0], *bag(r[1], r[2], r[3], list(r[4]) if r[4] is not None else [])) for r in b.itertuples(index=False)], columns=["id", "work", "place", "phase", "region", "owner", "numbers"])
+            yield pd.DataFrame([(r[0], *bag(r[1], r[2], r[3], list(r[4]) if r[4] is not None else [])) for r in b.itertuples(index=False)], columns=["id", "work", "place", "phase", "region", "wide", "owner", "numbers"])
 
-    return records.select("id", "name", "owner", "region", "numbers").mapInPandas(run, "id long, work string, place string, phase string, region int, owner string, numbers array<string>")
+    return records.select("id", "name", "owner", "region", "numbers").mapInPandas(run, "id long, work string, place string, phase string, region int, wide boolean, owner string, numbers array<string>")
 
 
 def terms(b: DataFrame) -> DataFrame:
@@ -191,8 +202,8 @@ def retrieved(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Adds the features of the pairs, ranks and the mutual test."""
-    x = left.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("work", "place", "phase", "region", "owner", "numbers")))
-    y = right.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("work", "place", "phase", "region", "owner", "numbers")))
+    x = left.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("work", "place", "phase", "region", "wide", "owner", "numbers")))
+    y = right.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("work", "place", "phase", "region", "wide", "owner", "telling")))
     both = pairs.join(x, "a").join(y, "b")
 
     def flag(c: Column) -> Column:
@@ -201,7 +212,7 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     def differs(c: str, none) -> Column:
         return (F.col(f"a_{c}") != none) & (F.col(f"b_{c}") != none) & (F.col(f"a_{c}") != F.col(f"b_{c}"))
 
-    province = (F.col("a_region") <= 3) | (F.col("b_region") <= 3)
+    province = F.col("a_wide") | F.col("b_wide")
     both = both.withColumns(
         {
             "work": flag(F.col("a_work") == F.col("b_work")),
@@ -213,9 +224,11 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
             "phase_same": flag(F.col("a_phase") == F.col("b_phase")),
             "phase_other": flag(differs("phase", "")),
             "phase_missing": flag((F.col("a_phase") == "") != (F.col("b_phase") == "")),
-            "number": flag(F.size(F.array_intersect("a_numbers", "b_numbers")) > 0),
+            "number": flag(F.size(F.array_intersect("a_numbers", "b_telling")) > 0),
+            "numbered": flag((F.size("a_numbers") > 0) & (F.size("b_telling") > 0)),
         }
     )
+    both = both.withColumns({"neither": (1 - F.col("work")) * (1 - F.col("number")), "phase_lone": F.col("phase_missing") * (1 - F.col("number"))})
     # one number alone can be mistyped, so it never outweighs another phase
     fit = F.col("score") * (1 - 0.5 * F.col("phase_other") - 0.25 * F.col("phase_missing") * (1 - F.col("number")) - 0.3 * F.col("region_other")) * (1 - 0.4 * (1 - F.col("work")) * (1 - F.col("number")))
     both = both.withColumn("fit", fit)
@@ -237,8 +250,7 @@ def calibration(pairs: DataFrame) -> np.ndarray:
     rows = sampled(silver, FITTED, "a", "b").select(F.col("rank").alias("r"), *FEATURES).toPandas()
     x = np.concatenate([np.ones((len(rows), 1)), rows[list(FEATURES)].to_numpy(dtype=float)], axis=1)
     y = (rows["r"] == 1).to_numpy(dtype=float)
-    # what every match should have, as prior weights, so that a small or one-sided sample stays sane
-    prior = np.array([-4.0, 2.0, 2.0, 3.0, 1.0, 1.5, -1.5, 1.0, -4.0, 1.5, -6.0, -3.0])
+    prior = np.array(PRIOR)
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -249,6 +261,22 @@ def calibration(pairs: DataFrame) -> np.ndarray:
     return w
 
 
+def number_weight(pairs: DataFrame) -> float:
+    """How much a shared number says: the log of how often best pairs whose attributes agree share one, over how often runners-up do."""
+    agree = (F.col("rank") == 1) & (F.col("work") == 1) & (F.col("owner_same") == 1) & (F.col("phase_same") == 1)
+    each = lambda c: [F.count(F.when(c, 1)), F.count(F.when(c & (F.col("number") == 1), 1))]
+    n, m, others, u = pairs.filter("numbered = 1").agg(*each(agree), *each((F.col("rank") > 1) & (F.col("work") == 0))).first()
+    return float(np.clip(np.log((m + 2) / (n + 4)) - np.log((u + 0.1) / (others + 4)), 0.5, 6.0))
+
+
+def telling(register: DataFrame) -> DataFrame:
+    """Adds telling: the numbers of an entry that name a work, as at most SHARED entries hold them."""
+    held = register.select("id", F.explode("numbers").alias("n")).filter(F.length("n") >= SHORTEST)
+    few = held.groupBy("n").agg(F.count("*").alias("c")).filter(F.col("c") <= SHARED).select("n")
+    good = held.join(few, "n").groupBy("id").agg(F.collect_set("n").alias("telling"))
+    return register.join(good, "id", "left").withColumn("telling", F.coalesce("telling", F.array().cast("array<string>")))
+
+
 def matches(notices: DataFrame, register: DataFrame, reference: DataFrame) -> DataFrame:
     """(id, engineering_project_id, score, confidence): each notice's entry, if it has one.
 
@@ -257,16 +285,15 @@ def matches(notices: DataFrame, register: DataFrame, reference: DataFrame) -> Da
     give an empty result.
     """
     left = checkpointed(terms(bags(notices, reference, notices)))
-    right = checkpointed(terms(bags(register, reference, notices)))
-    # a match needs the same work or number, so records with neither, whose terms may all be hot, ask for nothing
+    right = checkpointed(telling(terms(bags(register, reference, notices))))
+    # Without a work there is no place either; owner, region and phase alone stay far below one half (PRIOR's
+    # weight of "neither"), so records with neither work nor number, whose terms may all be hot, ask for nothing
     asking = left.filter("work <> '' or size(numbers) > 0")
     pairs = checkpointed(compared(retrieved(asking, right), left, right))
     w = calibration(pairs)
     logit = F.lit(float(w[0]))
     for c, v in zip(FEATURES, w[1:], strict=True):
         logit = logit + F.col(c) * float(v)
-    logit = logit + F.col("number") * 2.0
+    logit = logit + F.col("number") * number_weight(pairs)
     sure = pairs.withColumn("confidence", 1 / (1 + F.exp(-logit)))
-    agree = (F.col("work") == 1) | (F.col("number") == 1)
-    phases = (F.col("phase_other") == 0) & ((F.col("phase_missing") == 0) | (F.col("number") == 1))
-    return sure.filter((F.col("rank") == 1) & F.col("mutual") & agree & phases & (F.col("region_other") == 0) & (F.col("confidence") >= 0.5)).select(F.col("a").alias("id"), F.col("b").alias("engineering_project_id"), "score", "confidence")
+    return sure.filter((F.col("rank") == 1) & F.col("mutual") & (F.col("confidence") >= 0.5)).select(F.col("a").alias("id"), F.col("b").alias("engineering_project_id"), "score", "confidence")

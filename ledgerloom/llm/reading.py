@@ -2,15 +2,16 @@
 
 A rating-scale Rasch model links documents and words on one latent scale: the odds that a document
 in which word w occurs is of level k + 1 rather than k are exp(b_w - t_k), with the word's
-difficulty b_w and steps t_k shared by all words. Labelled documents anchor the scale. Estimation
-alternates: word difficulties from the levels' counts of the documents they occur in (partial sums
-by Arrow batches, then a shuffle by word, then a Newton step per word, all distributed), and
-document levels from the difficulties of their words; unlabelled documents enter with their
-estimated levels.
+difficulty b_w and steps t_k shared by all words. Every document has a latent level of its own,
+continuous on the scale of the labels; labelled documents anchor it. Estimation alternates until the
+difficulties settle: word difficulties from the levels of the documents they occur in (partial sums
+by Arrow batches, a shuffle by word, a Newton step per word, all distributed), then each document's
+latent level from the difficulties of its words; a document between two levels counts in both.
 
 Words are Latin words and pairs of neighbouring Han characters, hashed into 2^18 places, so the
-model's size is fixed and it may be broadcast. A document's score is the interquartile mean over its
-words of the expected level; cut points come from the labelled documents.
+model's size is fixed and it may be broadcast. Texts are turned into places once, in one Arrow pass
+into a checkpoint; all rounds run over integers. A document's score is the interquartile mean over
+its words of the expected level; cut points from the labelled documents carry it to the levels.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import is_blank, sampled
+from .support import checkpointed, is_blank, sampled
 
 PLACES = 1 << 18
 LEVELS = 5
-ROUNDS = 2
+#: The alternation ends when the words' difficulties, weighted by occurrence, move less than SETTLED on average, or after ROUNDS.
+ROUNDS = 8
+SETTLED = 0.02
+#: How much a document counts by the source of its level: reliable rater, another rater, estimate.
+SURE, OTHER, ESTIMATE = 1.0, 0.5, 0.2
 #: Labelled documents taken for the cut points, by hash of their ids.
 FITTED = 20_000
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
@@ -90,62 +96,101 @@ def steps_of(prior: np.ndarray) -> np.ndarray:
     return np.log(share[:-1] / share[1:])
 
 
+BINS = 256
+
+
 class Model:
+    """Difficulties of all places and what they say of a document's level."""
+
     def __init__(self, b: np.ndarray, known: np.ndarray, steps: np.ndarray):
-        self.known = known
+        self.b, self.known = b, known
         p = _expected(b, steps)
-        self.mean = (p @ np.arange(1, LEVELS + 1)).astype(np.float32)
+        mean = p @ np.arange(1, LEVELS + 1)
+        self.bin = np.round((mean - 1) / (LEVELS - 1) * (BINS - 1)).astype(np.int64)
         # a word that says little about the level weighs little
-        self.weight = np.where(known, 1.0 / (0.1 + p @ np.arange(1, LEVELS + 1) ** 2 - self.mean**2), 0.0).astype(np.float32)
-
-    def score(self, text: str) -> float:
-        w = words(text)
-        weight = self.weight[w]
-        if not weight.any():
-            return 0.0
-        level = self.mean[w]
-        order = np.argsort(level, kind="stable")
-        share = np.cumsum(weight[order])
-        share /= share[-1]
+        self.weight = np.where(known, 1.0 / (0.1 + p @ np.arange(1, LEVELS + 1) ** 2 - mean**2), 0.0)
+
+    def scores(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The score of each document, 0 for one without known words. places: those of all documents, one after the other."""
+        n = len(sizes)
+        row = np.repeat(np.arange(n), sizes)
+        share = np.cumsum(np.bincount(row * BINS + self.bin[places], self.weight[places], n * BINS).reshape(n, BINS), axis=1)
+        total = share[:, -1:]
         # the mean of the middle half: sentences of another level, which most texts have some of, don't move it
-        inner = np.clip(share, 0.25, 0.75)
-        return float((np.diff(inner, prepend=0.25) * level[order]).sum() * 2)
+        inner = np.clip(share / np.maximum(total, 1e-12), 0.25, 0.75)
+        levels = 1 + np.arange(BINS) * (LEVELS - 1) / (BINS - 1)
+        return np.where(total[:, 0] > 0, np.diff(inner, axis=1, prepend=0.25) @ levels * 2, 0.0)
+
+
+def latent(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Continuous levels from 1 to 5: a cut point is half-way between its levels."""
+    x = cuts + 1e-6 * np.arange(LEVELS - 1)
+    edge = max(float(np.median(np.diff(x))) / 2, 1e-3)
+    return np.interp(scores, [x[0] - edge, *x, x[-1] + edge], [1.0, *(np.arange(1, LEVELS) + 0.5), float(LEVELS)])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of an Arrow column of lists."""
+    ends = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(ends)
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(doc_id, places, level, weight): docs (doc_id, text, level, weight), texts as the places of their words; checkpointed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = [words(t) for t in b.column("text").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
+            flat = np.concatenate([*places, np.zeros(0, dtype=np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), b.column("level"), b.column("weight")], ["doc_id", "places", "level", "weight"])
+
+    return checkpointed(docs.select("doc_id", "text", "level", "weight").mapInArrow(run, "doc_id long, places array<int>, level int, weight double"))
 
 
 def _word_counts(docs: DataFrame, cuts: np.ndarray | None, model) -> DataFrame:
-    """(place, n1..n5): documents of each level a word occurs in. docs: (text, level), level null where unknown."""
+    """(place, n1..n5): weight of the documents of each level that a word occurs in; without a model only those with a label."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((PLACES, LEVELS), dtype=np.float64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PLACES * LEVELS)
         for b in batches:
-            for text, level in zip(b["text"], b["level"], strict=True):
-                if level == level and level is not None:
-                    counts[words(text), int(level) - 1] += 1.0
-                elif model is not None:
-                    s = model.value.score(text)
-                    if s > 0:
-                        counts[words(text), int(np.searchsorted(cuts, s))] += 0.2  # an estimate weighs less than a label
-        at = np.flatnonzero(counts.sum(1))
-        yield pd.DataFrame({"place": at.astype(np.int64)} | {f"n{k + 1}": counts[at, k] for k in range(LEVELS)})
+            places, sizes = _lists(b.column("places"))
+            level = b.column("level").to_numpy(zero_copy_only=False).astype(float)
+            weight = np.where(np.isnan(level), ESTIMATE, np.nan_to_num(b.column("weight").to_numpy(zero_copy_only=False).astype(float)))
+            if model is None:
+                weight[np.isnan(level)], level = 0.0, np.nan_to_num(level, nan=1.0)
+            else:
+                scores = model.value.scores(places, sizes)
+                weight[np.isnan(level) & (scores == 0)] = 0.0
+                level = np.where(np.isnan(level), latent(scores, cuts), level)
+            low = np.minimum(np.floor(level), LEVELS - 1).astype(np.int64)
+            above = np.repeat(weight * (level - low), sizes)
+            at = places.astype(np.int64) * LEVELS + np.repeat(low, sizes) - 1
+            counts += np.bincount(at, np.repeat(weight, sizes) - above, len(counts))
+            counts += np.bincount(at + 1, above, len(counts))
+        table = counts.reshape(PLACES, LEVELS)
+        at = np.flatnonzero(table.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *(pa.array(table[at, k]) for k in range(LEVELS))], ["place", *fields])
 
     fields = [f"n{k + 1}" for k in range(LEVELS)]
-    rows = docs.select("text", "level").mapInPandas(run, "place long, " + ", ".join(f"{n} double" for n in fields))
+    rows = docs.select("places", "level", "weight").mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in fields))
     return rows.groupBy("place").agg(*(F.sum(n).alias(n) for n in fields))
 
 
-def _fit_words(counts: DataFrame, steps: np.ndarray) -> Model:
-    """One step of the alternation: difficulties of all words, at most 2^18 numbers, gathered into a model."""
+def _fit_words(counts: DataFrame, steps: np.ndarray) -> tuple[Model, np.ndarray]:
+    """Difficulties of all words, at most 2^18 numbers, gathered into a model; and how often each occurs."""
     fields = [f"n{k + 1}" for k in range(LEVELS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"place": b["place"], "b": difficulties(b[fields].to_numpy(), steps)})
+            n = b[fields].to_numpy()
+            yield pd.DataFrame({"place": b["place"], "b": difficulties(n, steps), "n": n.sum(1)})
 
-    rows = counts.mapInPandas(run, "place long, b double").toPandas()
-    b, known = np.zeros(PLACES), np.zeros(PLACES, dtype=bool)
+    rows = counts.mapInPandas(run, "place long, b double, n double").toPandas()
+    b, often = np.zeros(PLACES), np.zeros(PLACES)
     at = rows["place"].to_numpy(dtype=np.int64)
-    b[at], known[at] = rows["b"], True
-    return Model(b, known, steps)
+    b[at], often[at] = rows["b"], rows["n"]
+    return Model(b, often > 0, steps), often
 
 
 def cut_points(scores: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -167,43 +212,51 @@ def cut_points(scores: np.ndarray, levels: np.ndarray) -> np.ndarray:
 def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", rater: str = "r1") -> DataFrame:
     """(doc_id, score, level) of all documents with running text; level 1 (plain) to 5 (most demanding).
 
-    labels: (doc_id, reading_level, rater); the reliable rater's are used, a document labelled
-    twice counts by the lower id order. Null, empty and blank texts and bare tables have no level.
-    Without labels all documents get level 3. Copies have the same level.
+    labels: (doc_id, reading_level, rater). The reliable rater's level is a document's, the lowest
+    if there are two; where only others gave one it counts as OTHER in the words' difficulties and
+    not for the cut points. Null, empty and blank texts and bare tables have no level. Without
+    labels of the reliable rater all documents get level 3. Copies have the same level.
     """
     spark = docs.sparkSession
-    known = labels.filter(F.col("rater") == rater).filter("reading_level between 1 and 5").groupBy("doc_id").agg(F.min("reading_level").alias("level"))
-    texts = readable(docs, id_col, text)
-    labelled = texts.join(known, "doc_id")
+    mine = F.col("rater") == rater
+    known = labels.filter("reading_level between 1 and 5").groupBy("doc_id").agg(F.min(F.when(mine, F.col("reading_level"))).alias("sure"), F.min(F.when(mine, None).otherwise(F.col("reading_level"))).alias("other"))
+    known = known.select("doc_id", F.coalesce("sure", "other").cast("int").alias("level"), F.when(F.col("sure").isNull(), OTHER).otherwise(SURE).alias("weight"))
+    texts = tokenised(readable(docs, id_col, text).join(known, "doc_id", "left"))
+    labelled = texts.filter(F.col("weight") == SURE)
     prior = np.zeros(LEVELS)
     for r in labelled.groupBy("level").count().collect():
         prior[r["level"] - 1] = r["count"]
     if not prior.sum():
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.lit(3).alias("level"))
     steps = steps_of(prior)
-    sample = sampled(labelled, FITTED, "doc_id").select("text", "level")
+    sample = checkpointed(sampled(labelled, FITTED, "doc_id").select("places", "level"))
 
     def cut(model) -> np.ndarray:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pd.DataFrame({"score": [model.value.score(t) for t in b["text"]], "level": b["level"]})
+                yield pa.RecordBatch.from_arrays([pa.array(model.value.scores(*_lists(b.column("places")))), b.column("level")], ["score", "level"])
 
-        rows = sample.mapInPandas(run, "score double, level int").toPandas()
+        rows = sample.mapInArrow(run, "score double, level int").toPandas()
         return cut_points(rows["score"].to_numpy(), rows["level"].to_numpy())
 
-    model = spark.sparkContext.broadcast(_fit_words(_word_counts(labelled, None, None), steps))
+    now, _ = _fit_words(_word_counts(texts.filter("level is not null"), None, None), steps)
+    model = spark.sparkContext.broadcast(now)
     cuts = cut(model)
-    everything = texts.join(known, "doc_id", "left").select("text", "level")
-    for _ in range(ROUNDS - 1):
-        model = spark.sparkContext.broadcast(_fit_words(_word_counts(everything, cuts, model), steps))
+    for _ in range(ROUNDS):
+        before = now
+        now, often = _fit_words(_word_counts(texts, cuts, model), steps)
+        model = spark.sparkContext.broadcast(now)
         cuts = cut(model)
+        both = before.known & now.known
+        if not both.any() or np.average(np.abs(now.b - before.b)[both], weights=often[both]) < SETTLED:
+            break
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = np.array([model.value.score(t) for t in b["text"]], dtype=float)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores, "level": np.searchsorted(cuts, scores).astype(np.int32) + 1})
+            scores = model.value.scores(*_lists(b.column("places")))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array(np.searchsorted(cuts, scores).astype(np.int32) + 1)], ["doc_id", "score", "level"])
 
-    return texts.mapInPandas(run, "doc_id long, score double, level int")
+    return texts.select("doc_id", "places").mapInArrow(run, "doc_id long, score double, level int")
 
 
 def demanding(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -24,8 +24,7 @@ def _p1_misses(spark: SparkSession, d: str) -> DataFrame:
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     notices = table(spark, d, "project").select("id", F.col("project_name").alias("name"), "owner", "region", F.array("project_no").alias("numbers"))
-    # plan and investment numbers aren't the notices' number systems
-    numbers = table(spark, d, "engineering_project_identifier").filter("identifier_type = '工程编号'").groupBy(F.col("engineering_project_id").alias("id")).agg(F.collect_set("identifier_value").alias("numbers"))
+    numbers = table(spark, d, "engineering_project_identifier").groupBy(F.col("engineering_project_id").alias("id")).agg(F.collect_set("identifier_value").alias("numbers"))
     register = table(spark, d, "engineering_project").join(numbers, "id", "left").select("id", F.col("canonical_name").alias("name"), "owner", "region", "numbers")
     return linkage.matches(notices, register, table(spark, d, "region_ref"))
 
@@ -55,12 +54,12 @@ def _p4_plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The first import, then all later runs, taken into a stored index."""
+    """The first import, then three parts of the later runs, taken one after the other into a stored index."""
     notices = table(spark, d, "project").select("id", "url", "source_site", "raw_text")
     seen = table(spark, d, "notice_observation")
     first = seen.filter("is_first_seen = 1").select(F.col("notice_id").alias("id"), F.col("run_id").alias("run"))
     path = shared_folder(spark, "history-index")
-    found = incremental.repeats_in_batches(notices, seen.select("notice_id", "content_hash"), first, path, batches=2)
+    found = incremental.repeats_in_batches(notices, seen.select("notice_id", "content_hash"), first, path)
     drop_folder(spark, path)  # the groups are checkpointed apart from it
     return found
 

@@ -91,18 +91,72 @@ def test_spellings(spark, reference):
         ["桓涵章", "桓 涵章", "桓涵张", "桓涵章经理", "Huan, Hanzhang", "Hanzhang Huan", "HUAN Hanzhang", "Han-Zhang Huan"],
         ["桓涵文"],
     ]
-    values = [(v, 1) for g in groups for v in g] + [(None, 1), ("", 1), ("  ", 1), ("桓涵章", 2), ("桓​涵章", 1)]
+    # others in the same lines of business, from which the lines are learned
+    others = [f"{r}区{a}{b}{c}{line}有限公司" for line in ("路桥工程", "预制构件") for r, a, b, c in (("鹭洲", x, y, z) for x, y, z in zip("松梅兰竹菊荷桂桐槐柳杉柏", "谷川溪岭峰湖泉滩湾渡桥津", "诚信达安泰和顺昌隆盛兴旺", strict=True))]
+    others += [f"{n} {t} Co., Ltd." for t in ("Bridge and Tunnel", "Marine Works") for n in ("Zelkor", "Hestvel", "Branum", "Fentol", "Prasquin")]
+    values = [(v, 1) for g in groups for v in g] + [(None, 1), ("", 1), ("  ", 1), ("桓涵章", 2), ("桓​涵章", 1)] + [(v, 1) for v in others]
     df = spark.createDataFrame(values, "value string, entity int")
     got = {}
     for r in spellings.classes(df, reference).collect():
         got.setdefault(r.entity, set()).add(r.value)
-    assert sorted(map(sorted, got.values())) == sorted(sorted(set(g) | ({"桓​涵章"} if "桓涵章" in g else set())) for g in groups)
+    mine = [g for g in got.values() if not g & set(others)]
+    assert sorted(map(sorted, mine)) == sorted(sorted(set(g) | ({"桓​涵章"} if "桓涵章" in g else set())) for g in groups)
     pairs = {(r.spelling_a, r.spelling_b) for r in spellings.pairs(df, reference).collect()}
     assert all(a < b for a, b in pairs) and ("桓​涵章", "桓涵章") not in pairs and ("桓​涵章", "桓涵张") in pairs
     n = sum(len(g) * (len(g) - 1) // 2 for g in groups) + 7
     assert len(pairs) == n
 
 
+def variants(rng, region, brand, line, short):
+    """Spellings of one name as people type them."""
+    i = rng.randrange(len(brand) - 1)
+    typed = [f"{region}{brand}{line}有限公司", f"{region[:-1]}{brand}{line}股份有限公司", f"{brand}({region}){line}有限责任公司", f"招标人：{region}{brand}{line}有限公司", f"{region} {brand} {line} 有限公司", f"{region}{brand}{line}公司", f"{brand}{short}"]
+    return typed + [f"{region}{brand[:i]}{brand[i + 1]}{brand[i]}{brand[i + 2:]}{line}有限公司", f"{region}{brand[: i + 1]}{brand[i:]}{line}有限公司", f"{region}{brand}{line[:1]}{line[2:]}有限公司"]
+
+
+def test_names_whose_trades_and_brands_are_in_no_list(spark, reference):
+    """Recall and precision over pairs, with all lines of business learned from the names themselves."""
+    rng = random.Random(11)
+    lines = [("果蔬种业", "种业"), ("冷链物流运输", "冷链"), ("食品饮料加工", "食品"), ("影视文化传媒", "影视"), ("园林绿化养护", "园林")]
+    lines = [(l, l[0] + l[2]) for l, _ in lines]
+    chars = "岚峻澜霁曜翊珩珞琬琰瑾璟璇瓒芷芮苒茗荔莘菡葭蓁蔚薇蘅"
+    truth, made = {}, set()
+    for k in range(80):
+        brand = "".join(rng.sample(chars, 3))
+        line, short = lines[k % 5]
+        if (frozenset(brand), line) in made:
+            continue
+        made.add((frozenset(brand), line))
+        for v in variants(rng, rng.choice(["澄川区", "麒林县", "粟川县"]), brand, line, short):
+            truth[v] = f"{brand}{line}"
+    for k in range(40):
+        brand = "".join(rng.choice(["qua", "ren", "tol", "vim", "bas", "dor"]) for _ in range(4)).title() + "xyz"[k % 3]
+        for t in ("Cold Storage", "Fruit Packing")[k % 2 : k % 2 + 1]:
+            for v in (f"{brand} {t} Co., Ltd.", f"{brand.upper()} {t.upper()} LTD", f"{t} {brand}", f"{brand[:4]}{brand[5:]} {t} Limited", f"The {brand} {t} Company", f"{brand[:-2]}{ {'a': 's', 'o': 'p', 'r': 't', 'n': 'm', 's': 'a', 'l': 'k', 'm': 'n', 'e': 'w'}.get(brand[-2], brand[-2]) }{brand[-1]} {t} Ltd"):
+                truth[v] = f"{brand} {t}"
+    for family, given in (("苍", "语岚"), ("麻", "知夏"), ("白", "砚秋"), ("顾", "南枝")):
+        for v in (f"{family}{given}", f"{family} {given}", f"{family}{given}女士", f"联系人：{family}{given}"):
+            truth[v] = family + given
+    got = {r.value: r.entity for r in spellings.classes(spark.createDataFrame([(v,) for v in truth], "value string"), reference).collect()}
+    values = sorted(truth)
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if truth[a] == truth[b]}
+    found = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if a in got and got[a] == got.get(b)}
+    assert len(want & found) / len(want) >= 0.9 and len(want & found) / len(found) >= 0.95, (len(want & found) / len(want), len(want & found) / len(found), sorted(want - found)[:40], sorted(found - want)[:20])
+
+
+def test_most_links_come_from_the_segment_join(spark, reference, monkeypatch):
+    values = ["澄川区瑞麟沐路桥工程有限公司", "澄川瑞麟沐路桥工程有限公司", "瑞麟沐(澄川)路桥工程有限公司", "澄川区瑞林沐路桥工程有限公司"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    assert spellings.pairs(df, reference).count() == 6
+    monkeypatch.setattr(spellings, "_near", lambda forms: spark.createDataFrame([], "a long, b long"))
+    assert spellings.pairs(df, reference).count() == 0
+
+
+def test_edits():
+    assert spellings.edits(list("acme"), list("acne")) == 1 and spellings.edits(list("acme"), list("axle")) > 1
+    assert spellings.edits(["rui", "lin"], ["lin", "rui"]) == 1 and spellings.edits(["rui", "lin"], ["rui", "ling"]) == 1
+
+
 def test_segments_find_all_within_the_distance():
     rng = random.Random(5)
     for _ in range(2000):

@@ -213,14 +213,61 @@ def test_batches_equal_the_whole(spark, tmp_path):
         for r in new:
             # the group's earliest at that time; groups that later batches join have one earlier still
             assert any(b == r.id_b for _, b in whole)
-    done = spark.read.parquet(str(tmp_path / "index" / "roots")).select("a", "b")
-    from ledgerloom.operators.components import components
+    assert {(r.id_a, r.id_b) for r in index.groups().collect()} == whole
 
-    assert {(r.root, r.node) for r in components(done).filter("node <> root").collect()} == whole
+
+def test_tokens_that_become_hot_lose_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "HOT", 2)
+    rows = [(i, u, None, t) for i, u, _, t in corpus(6, 110)]
+    df, h = tables(spark, rows, [(1, None)])
+    whole = {(r.id_a, r.id_b) for r in incremental.repeats(df, h).collect()}
+    for few in (0, 1000):
+        monkeypatch.setattr(incremental, "FEW", few)
+        index = incremental.HistoryIndex(spark, str(tmp_path / f"index{few}"))
+        for k in range(4):
+            index.add(df.filter(f"id % 4 = {k}"), h)
+        assert {(r.id_a, r.id_b) for r in index.groups().collect()} == whole
+        assert index.stored("hot").count() > 0
+
+
+def test_a_line_that_becomes_frequent_late_keeps_its_list_short(spark, tmp_path):
+    text = lambda i: "。".join([f"独{i}", f"有{i}", f"又{i}"] + (["后来人人都写的一句话"] if i > 20 else []))
+    df, h = tables(spark, [(i, None, None, text(i)) for i in range(1, 341)], [(1, None)])
+    index = incremental.HistoryIndex(spark, str(tmp_path / "index"))
+    for batch in ("id <= 60", "id between 61 and 320", "id > 320"):
+        index.add(df.filter(batch), h)
+    lists = index.stored("postings").groupBy("key", "second").count()
+    assert lists.agg(F.max("count")).first()[0] <= incremental.HOT and index.stored("hot").count() == 1
+    assert index.groups().count() == 0
+
+
+def test_postings_do_not_grow_with_copies(spark, tmp_path):
+    sizes = []
+    for n in (50, 400):
+        body = "。".join(f"同一句话{i}" for i in range(12))
+        df, h = tables(spark, [(i, None, None, body) for i in range(1, n + 1)], [(1, None)])
+        index = incremental.HistoryIndex(spark, str(tmp_path / f"index{n}"))
+        index.add(df.filter("id % 2 = 0"), h)
+        index.add(df.filter("id % 2 = 1"), h)
+        sizes.append((index.stored("postings").count(), index.stored("sets").count()))
+        assert index.groups().count() == n - 1 and index.stored("links").count() == n - 1 + 0
+    assert sizes[0] == sizes[1]
+
+
+def test_a_small_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    df, h = tables(spark, [(i, f"https://h.test/{i % 90}", None, f"句{i}甲。句{i}乙") for i in range(1, 121)], [(1, None)])
+    index = incremental.HistoryIndex(spark, str(tmp_path / "index"))
+    index.add(df.filter("id <= 100"), h)
+    some = index.stored("sets").select("id").limit(2)
+    read = index.found("sets", some, True)
+    assert read.count() == 2 and len(read.inputFiles()) >= 1 and "In(id" in read._jdf.queryExecution().toString()
+    assert {tuple(r) for r in read.select("id").collect()} == {tuple(r) for r in index.found("sets", some, False).select("id").collect()}
+    assert {(r.id_a, r.id_b) for r in index.add(df.filter("id > 100"), h).collect()} == {(i - 90, i) for i in range(101, 121)}
 
 
 def test_late_batches_with_smaller_ids(spark, tmp_path):
     rows = corpus(9, 90)
+    rows = [(i, u, None, t) for i, u, _, t in rows]  # no site, so no furniture, which batches see by and by
     df, h = tables(spark, rows, [(r[0], f"h{r[0] % 41}") for r in rows])
     runs = spark.createDataFrame([(r[0], 1 + (r[0] * 7) % 5) for r in rows if r[0] % 11], "id long, run long")
     got = {(r.id_a, r.id_b) for r in incremental.repeats_in_batches(df, h, runs, str(tmp_path / "index")).collect()}
@@ -244,7 +291,7 @@ def test_copies_post_once_in_the_index(spark, tmp_path):
     for batch in ("id between 41 and 80", "id <= 40", "id > 80"):
         index.add(df.filter(batch), h)
     for stored in ("sets", "postings"):
-        ids = [r.id for r in spark.read.parquet(str(tmp_path / "index" / stored)).select("id").distinct().collect()]
+        ids = [r.id for r in index.stored(stored).select("id").distinct().collect()]
         assert [i for i in ids if i % 3 == 1] == [43]
         assert [i for i in ids if i in (60, 99)] == [60]
     assert {(r.id_a, r.id_b) for r in index.groups().collect()} == {(1, i) for i in range(2, 121) if i % 3 == 1 or i in (60, 99)}
