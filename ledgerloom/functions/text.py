@@ -1,11 +1,20 @@
-"""Column functions on text, all of them built-in expressions that stay in the JVM."""
+"""Column functions on text: built-in expressions that stay in the JVM, but for the few values whose compatibility form needs Unicode's tables."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+#: Characters whose compatibility form is themselves, or one ASCII character that WIDE has.
+STABLE = r"\x00-\x7f\u00b7\u2013\u2014\u2018-\u201d\u3000-\u3002\u3008-\u3011\u4e00-\u9fff\uff01-\uff5e"
+WIDE = "\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+THIN = " " + "".join(map(chr, range(0x21, 0x7F)))
 
 
 def sentences(c: Column) -> Column:
@@ -129,3 +138,128 @@ def chinese_number(c: Column) -> Column:
     ones = part(r"[十百]0?(\d)$", 0)
     roman = F.create_map(*(x for i, r in enumerate(("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"), 1) for x in (F.lit(r), F.lit(i))))
     return F.when(digits.rlike(r"^\d{1,9}$"), F.try_to_number(digits, F.lit("999999999")).cast("int")).when(digits.rlike(r"^(?:\d?百)?0?(?:\d?十)?\d?$") & digits.rlike("[十百]"), hundreds * 100 + tens * 10 + ones).otherwise(roman[text])
+
+
+@pandas_udf(StringType())
+def _compatible(c: pd.Series) -> pd.Series:
+    return c.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
+@pandas_udf(StringType())
+def _caseless(c: pd.Series) -> pd.Series:
+    return c.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+
+
+def nfkc(c: Column) -> Column:
+    """The compatibility form, null to empty; only values with characters that it may change beyond width leave the JVM."""
+    hard = c.rlike(f"[^{STABLE}]")
+    return F.coalesce(F.when(hard, _compatible(F.when(hard, c))).otherwise(F.translate(c, WIDE, THIN)), F.lit(""))
+
+
+def caseless(c: Column) -> Column:
+    """The compatibility form without regard to case, null to empty."""
+    hard = c.rlike(f"[^{STABLE}]")
+    return F.coalesce(F.when(hard, _caseless(F.when(hard, c))).otherwise(F.lower(F.translate(c, WIDE, THIN))), F.lit(""))
+
+
+#: Marks that identities of works leave out; those of notices leave out two more, those of events all.
+MARKS = "，,。.;；:：'\"“”‘’()（）[]【】"
+NOTICE_MARKS = MARKS + "_-"
+
+
+def _without(c: Column, marks: str) -> Column:
+    blanks = F.regexp_replace(c, r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", "")
+    return F.translate(blanks, marks, "")
+
+
+def notice_identity(c: Column) -> Column:
+    return _without(caseless(c), NOTICE_MARKS)
+
+
+def work_identity(c: Column) -> Column:
+    return _without(caseless(c), MARKS)
+
+
+def event_identity(c: Column) -> Column:
+    """Letters, digits and underscores only."""
+    return F.regexp_replace(caseless(c), r"[^\p{L}\p{N}_]+", "")
+
+
+#: Words that tell that a text beside an owner's label is no owner.
+NO_OWNER = ("或招标代理机构提出", "招标代理机构", "联系人", "联系电话", "电话", "电子邮箱", "监督部门")
+
+
+def owner_name(c: Column) -> Column:
+    """An owner in its compatibility form with single blanks and bare ends; empty if too short, too long or no owner."""
+    clean = F.btrim(F.regexp_replace(nfkc(c), r"[\s\p{Z}]+", " "), F.lit(" ，,。.;；"))
+    ok = F.length(clean).between(2, 100) & ~clean.rlike("|".join(NO_OWNER))
+    return F.when(ok, clean).otherwise("")
+
+
+def only_label(c: Column, labels: dict[str, list[str]]) -> Column:
+    """The one label with a marker in the text; empty for none and for two or more."""
+    found = F.split(multi_label(F.regexp_replace(nfkc(c), r"[\s\p{Z}]+", ""), labels, "\n"), "\n")
+    return F.when(F.size(found) == 1, found[0]).otherwise("")
+
+
+def title_label(c: Column, labels: dict[str, list[str]]) -> Column:
+    """struct<label, marker>: the one label of a title, a company's name before it left out, with its longest marker."""
+    text = F.regexp_replace(nfkc(c), "^.{0,45}?(?:集团股份有限公司|集团有限公司|有限责任公司|有限公司)", "")
+    hits = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(m)), F.struct(F.lit(-len(m)).alias("n"), F.lit(i).alias("at"), F.lit(label).alias("label"), F.lit(m).alias("marker"))) for i, (label, m) in enumerate((k, m) for k, ms in labels.items() for m in ms))))
+    one = F.size(F.array_distinct(F.transform(hits, lambda h: h["label"]))) == 1
+    first = F.array_min(hits)
+    return F.struct(F.when(one, first["label"]).otherwise("").alias("label"), F.when(one, first["marker"]).otherwise("").alias("marker"))
+
+
+def split_name(c: Column) -> Column:
+    """struct<core, tail>: a name cut after its last 项目 that six characters or more lead up to and a purchase follows."""
+    pattern = r"(?s)^(.*项目)(.*?(?:采购|租赁|劳务分包|专业分包).*)$"
+    name = F.coalesce(c, F.lit(""))
+    head = F.regexp_extract(name, pattern, 1)
+    cut = (head != "") & (F.length(_without(head, NOTICE_MARKS)) >= 6)
+    tail = F.btrim(F.regexp_extract(name, pattern, 2), F.lit(" ，,。.;；-—"))
+    return F.struct(F.when(cut, head).otherwise(name).alias("core"), F.when(cut, tail).otherwise("").alias("tail"))
+
+
+#: What names a part of a work, and what ends that part's name.
+PARTS = "酒店|商业|山姆|住宅|写字楼|办公楼|学校|医院|地库|地下室|裙房|塔楼|厂房|宿舍|站房|车站|楼栋|地块|功能区"
+PART_ENDS = "装配式|预制|混凝土|构件|管片|箱梁|材料|设备|工程|劳务|专业|租赁|采购|供应|制作|安装"
+
+
+def part_scope(tail: Column) -> Column:
+    """The part of a work that a tail begins with, of at most 20 characters; empty without one."""
+    head = F.btrim(F.regexp_extract(tail, rf"^(.*?)(?:{PART_ENDS})", 1), F.lit(" ，,。.;；-—"))
+    return F.when((F.length(head) <= 20) & head.rlike(PARTS), head).otherwise("")
+
+
+#: Number systems and how much a number of each says, in the order they are tried.
+NUMBERS = (("TRANSACTION", r"^S\d{6,}[A-Z0-9_-]*$", "STRONG"), ("HEBEI_TRANSACTION", r"^[GI]\d{12,}[A-Z0-9_-]*$", "STRONG"), ("ENGINEERING", r"^20\d{2}-[A-Z0-9]{3,24}$", "STRONG"))
+
+
+def number_class(c: Column) -> Column:
+    """struct<kind, strength> of an identifier in its normal form; OTHER is weak, an empty one has none."""
+    kind, strength = F.when(c == "", ""), F.when(c == "", "")
+    for name, pattern, how in NUMBERS:
+        kind, strength = kind.when(c.rlike(pattern), name), strength.when(c.rlike(pattern), how)
+    return F.struct(kind.otherwise("OTHER").alias("kind"), strength.otherwise("WEAK").alias("strength"))
+
+
+#: The party after a result's label, and what stands there where none is named.
+PARTY, NO_PARTY = r"(?:中标人|中标单位)(?:名称)?\s*[：:]\s*([^\r\n,，。；;]{2,100})", r"^(?:如下|信息如下|情况如下)\s*[：:]?$"
+
+
+def result_party(c: Column) -> Column:
+    found = F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), PARTY, 1))
+    return F.when(found.rlike(NO_PARTY), "").otherwise(found)
+
+
+def years(c: Column) -> Column:
+    """array<string> of the years named, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(20\d{2})年(?:度)?"), 1))
+
+
+def lot_order(lots: Column) -> Column:
+    """Lots in order: numbers by value before all others, these by their characters."""
+    number = lambda x: F.when(x.rlike(r"^\d{1,18}$"), x).cast("long")
+    keyed = F.transform(lots, lambda x: F.struct(number(x).isNull().alias("other"), number(x).alias("n"), x.alias("lot")))
+    return F.transform(F.array_sort(keyed), lambda k: k["lot"])

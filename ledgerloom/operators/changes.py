@@ -69,3 +69,29 @@ def trailing_mean(rows: DataFrame, key: str, order: str, value: str, rows_back:
     """Adds baseline and samples: mean and count of up to rows_back strictly earlier rows of the key."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-rows_back, -1)
     return rows.withColumns({"baseline": F.avg(value).over(w), "samples": F.count(value).over(w)})
+
+
+def latest_before(rows: DataFrame, keys: list[str], order: str, value: str, width: int = 10_000) -> DataFrame:
+    """Adds latest_before: the greatest value of the key's rows with a smaller order, null for the first.
+
+    The running maximum is taken in two levels, over stretches of ``width`` of the integer order and
+    inside each, so a key that holds a large part of all rows isn't walked in one task.
+    """
+    cut = rows.withColumn("_stretch", F.floor(F.col(order) / width))
+    above = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy(*keys, "_stretch").agg(F.max(value).alias("_m")).select(*keys, "_stretch", F.max("_m").over(above).alias("_earlier"))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("_inside", F.max(value).over(inside)).join(whole, [*keys, "_stretch"]).withColumn("latest_before", F.greatest("_inside", "_earlier")).drop("_stretch", "_inside", "_earlier")
+
+
+def numbered(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """Adds n, the row's place in its key's time order from 1, and before, the time of the row before it.
+
+    Counted in two levels, over months and inside each, so a key with very many rows isn't walked in one task.
+    """
+    cut = rows.withColumn("_month", F.trunc(at, "month"))
+    above = Window.partitionBy(key).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    months = cut.groupBy(key, "_month").agg(F.count("*").alias("_c"), F.max(at).alias("_last")).select(key, "_month", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_earlier"), F.max("_last").over(above).alias("_last"))
+    inside = Window.partitionBy(key, "_month").orderBy(at, tie)
+    each = cut.withColumns({"_n": F.row_number().over(inside), "_lag": F.lag(at).over(inside)}).join(months, [key, "_month"])
+    return each.withColumns({"n": (F.col("_n") + F.col("_earlier")).cast("int"), "before": F.coalesce("_lag", "_last")}).drop("_month", "_n", "_lag", "_earlier", "_last")

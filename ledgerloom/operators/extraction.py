@@ -18,7 +18,11 @@ _N = r"(?:[一二三四五六七八九十]|[IVX]{1,4}|\d{1,3})"
 _RANGE = re.compile(rf"第?({_N})\s*(?:-|－|~|～|—|至|到)\s*第?({_N})#?标段?")
 _LIST = re.compile(rf"第?({_N}(?:\s*[、,，]\s*第?{_N})+)#?标段?")
 _CODE = re.compile(r"([A-Z]{1,4})-?0*(\d{1,3})标段?")
-_ONE = re.compile(rf"第?({_N})#?标段")
+_ONE = re.compile(rf"第?({_N})#?(?:标段|合同段)")
+#: Lots written behind 标段, before a bare 标, and codes that need no 标 at all.
+_AFTER = re.compile(rf"标段({_N})(?![A-Za-z0-9])")
+_BARE = re.compile(rf"(?:施工|(?<=[一-鿿]))({_N})标(?=项目|工程|招标|采购|桥梁)|施工({_N})标(?!段)")
+_PLAIN_CODE = re.compile(r"(?<![A-Za-z0-9])(SG|TJ)-?0*(\d{1,3})(?![A-Za-z0-9])")
 WIDEST = 20  # lots of a range
 
 
@@ -52,6 +56,9 @@ def lots_of(text: str | None) -> list[str]:
     take(_LIST, numbers)
     take(_CODE, lambda m: [f"{m[1]}-{m[2]}"])
     take(_ONE, numbers)
+    take(_AFTER, numbers)
+    take(_BARE, lambda m: [str(number(m[1] or m[2]))] if (m[1] or m[2]) in _NUMBERS or (m[1] or m[2]).isdigit() else [])
+    take(_PLAIN_CODE, lambda m: [f"{m[1]}-{m[2]}"])
     return list(dict.fromkeys(v for _, v in sorted(found, key=lambda x: x[0])))
 
 

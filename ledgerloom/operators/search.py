@@ -71,3 +71,18 @@ def snippet(text: Column, word: str, around: int = 24) -> Column:
     end = at + len(word) + around
     body = F.concat(F.substring(text, start, at - start), F.lit("["), F.substring(text, at, F.lit(len(word))), F.lit("]"), F.substring(text, at + len(word), F.lit(around)))
     return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(F.length(text) >= end, "…").otherwise("")))
+
+
+def phrase_in(docs: DataFrame, query: list[str]) -> DataFrame:
+    """(id, starts) of documents (id, t array of tokens) that hold the terms one after the other; all inside the row."""
+    at = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda p: F.forall(F.array(*(F.coalesce(F.get("t", p + i) == F.lit(q), F.lit(False)) for i, q in enumerate(query))), lambda ok: ok))
+    return docs.filter(F.size("t") > 0).select("id", at.alias("starts")).filter(F.size("starts") > 0)
+
+
+def token_snippet(toks: Column, word: str, window: int = 24) -> Column:
+    """The window of tokens around the first occurrence of a word, its occurrences in brackets, … where tokens are left out; null without one."""
+    at = F.array_position(toks, word)
+    start = F.greatest(at - window // 2, F.lit(1).cast("long")).cast("int")
+    shown = F.transform(F.slice(toks, start, window), lambda x: F.when(x == word, F.concat(F.lit("["), x, F.lit("]"))).otherwise(x))
+    body = F.concat(F.when(start > 1, "… ").otherwise(""), F.array_join(shown, " "), F.when(F.size(toks) > start + window - 1, " …").otherwise(""))
+    return F.when(at > 0, body)

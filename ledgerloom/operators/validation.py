@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..functions.text import STABLE, THIN, WIDE
+
 #: Lines that change without the content, elements without text, elements without an end.
 VOLATILE = r"^(?:更新时间|更新日期|最后更新|发布时间戳|浏览(?:次数|量)?|点击(?:次数|量)?|访问量) ?[：:]"
 SKIPPED = {"script", "style", "noscript", "template"}
 VOID = {"area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"}
-#: Characters whose NFKC form is themselves, or one ASCII character that _WIDE has.
-_STABLE = r"\x00-\x7f\u00b7\u2013\u2014\u2018-\u201d\u3000-\u3002\u3008-\u3011\u4e00-\u9fff\uff01-\uff5e"
-_WIDE = "\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
-_THIN = " " + "".join(map(chr, range(0x21, 0x7F)))
 
 
 def reasons(checks: dict[str, Column]) -> Column:
@@ -52,6 +50,11 @@ def fingerprint(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.replace(squashed(f), F.lit("\x1f"), F.lit(" ")) for f in fields)), 256)
 
 
+def canonical_fingerprint(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the fields as a JSON object: names in order, no blanks between, characters as they are; null as an empty string."""
+    return F.sha2(F.to_json(F.struct(*(F.coalesce(fields[n], F.lit("")).alias(n) for n in sorted(fields)))), 256)
+
+
 class _Text(HTMLParser):
     """The texts between tags, a line each."""
 
@@ -106,8 +109,8 @@ def _normal_texts(c: pd.Series) -> pd.Series:
 
 def normalised(c: Column) -> Column:
     """``normal_text`` as a column, null to empty; only values with markup or characters that NFKC may change leave the JVM."""
-    hard = c.rlike(rf"[&<]|[^{_STABLE}]")
-    lines = F.transform(F.split(F.translate(c, _WIDE, _THIN), r"[\r\n]"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\x0b\f\x1c-\x1f]+", " ")))
+    hard = c.rlike(rf"[&<]|[^{STABLE}]")
+    lines = F.transform(F.split(F.translate(c, WIDE, THIN), r"[\r\n]"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\x0b\f\x1c-\x1f]+", " ")))
     plain = F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(VOLATILE)), " ")
     return F.coalesce(F.when(hard, _normal_texts(F.when(hard, c))).otherwise(plain), F.lit(""))
 

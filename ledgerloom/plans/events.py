@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import changes
 from ..operators import extraction as X
 from ..operators.components import components
 from .linking import _COMPONENTS, _edges
@@ -63,9 +64,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def owner_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Each owner's notices in time with the days since the one before."""
-    w = Window.partitionBy("owner").orderBy("created_at", "id")
-    rows = table(spark, d, "project").filter("owner <> ''").select("owner", "id", "project_stage", "created_at", F.lag("created_at").over(w).alias("before"), F.row_number().over(w).alias("n"))
-    return rows.select("owner", "id", "n", "project_stage", F.date_diff("created_at", "before").alias("days_since"))
+    rows = table(spark, d, "project").filter("owner <> ''").select("owner", "id", "project_stage", "created_at")
+    return changes.numbered(rows, "owner", "created_at", "id").select("owner", "id", "n", "project_stage", F.date_diff("created_at", "before").alias("days_since"))
 
 
 def cluster_view(spark: SparkSession, d: str) -> DataFrame:

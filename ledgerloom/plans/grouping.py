@@ -125,16 +125,16 @@ def highest_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_ledger_check(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps in a numbered ledger (run ids): where the step from the row before isn't one."""
+    """Gaps in a numbered ledger (run ids): where a whole round of other sources or more lies between."""
     w = Window.partitionBy("source_id").orderBy("id")
     rows = table(spark, d, "source_run").select("source_id", "id", F.lag("id").over(w).alias("before"))
-    return rows.filter("id - before > 20")
+    return rows.filter("id - before >= 12")
 
 
 def time_gaps(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("source_id").orderBy("started_at", "id")
     rows = table(spark, d, "source_run").select("source_id", "id", "started_at", F.lag("started_at").over(w).alias("before"))
-    return rows.select("source_id", "id", F.timestamp_diff("HOUR", "before", "started_at").alias("hours")).filter("hours >= 48")
+    return rows.select("source_id", "id", F.timestamp_diff("HOUR", "before", "started_at").alias("hours")).filter("hours >= 24")
 
 
 QUERIES = {
@@ -189,7 +189,7 @@ SELECT id, coalesce(CAST(json_extract(analysis_json, '$.lead_score') AS INTEGER)
        array_to_string(coalesce(CAST(json_extract(analysis_json, '$.products') AS VARCHAR[]), matched_products), ',') AS products FROM project""",
     "rank_order_conflicts": _RANKED + "SELECT a.owner, a.project_stage AS higher, b.project_stage AS lower FROM f a JOIN f b ON a.owner = b.owner AND a.rank > b.rank AND a.since < b.since",
     "highest_rank": _RANKED + "SELECT owner, project_stage AS stage, since, lead(project_stage) OVER w AS previous FROM f WINDOW w AS (PARTITION BY owner ORDER BY rank DESC) QUALIFY row_number() OVER w = 1",
-    "schema_ledger_check": "SELECT source_id, id, before FROM (SELECT source_id, id, lag(id) OVER (PARTITION BY source_id ORDER BY id) AS before FROM source_run) WHERE id - before > 20",
+    "schema_ledger_check": "SELECT source_id, id, before FROM (SELECT source_id, id, lag(id) OVER (PARTITION BY source_id ORDER BY id) AS before FROM source_run) WHERE id - before >= 12",
     "time_gaps": """
-SELECT source_id, id, hours FROM (SELECT source_id, id, CAST(floor(epoch(started_at - lag(started_at) OVER (PARTITION BY source_id ORDER BY started_at, id)) / 3600) AS BIGINT) AS hours FROM source_run) WHERE hours >= 48""",
+SELECT source_id, id, hours FROM (SELECT source_id, id, CAST(floor(epoch(started_at - lag(started_at) OVER (PARTITION BY source_id ORDER BY started_at, id)) / 3600) AS BIGINT) AS hours FROM source_run) WHERE hours >= 24""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -136,11 +136,69 @@ def event_groups(spark: SparkSession, d: str) -> DataFrame:
     return led.groupBy("owner", "project_stage", "leader").agg(F.count("*").alias("n"), F.count_distinct("source_site").alias("sources"), F.min("id").alias("primary_id"), F.max("day").alias("last_day"))
 
 
+#: Facilities and routes by which records of one place meet.
+ANCHORS = (r"(?:国道|省道|县道|高速公路|轨道交通|地铁)\s*[A-Za-z]?\d+(?:号线)?", r"[一-鿿]{2,10}(?:河|渠|水库|泵站|水闸|道路|公路|桥|隧道)")
+LOT = r"第?(?:[一二三四五六七八九十]+|[ivx]+|[a-z]{1,3}\d+|\d+)#?标段?"
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    """(family, key, id): the keys of all four families, each with the province."""
+    rows = _named(spark, d).filter("province <> '' and name <> ''").withColumn("parent", F.regexp_replace("name", LOT, ""))
+    of = {"exact": F.array("name"), "parent": F.array("parent"), "gram": T.ngrams(F.col("parent"), 6), "anchor": F.concat(*(F.regexp_extract_all("name", F.lit(p), 0) for p in ANCHORS))}
+
+    def keyed(family: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(family).alias("family"), F.concat_ws("|", F.lit(family), "province", k).alias("key")))
+
+    each = F.flatten(F.array(*(keyed(f, keys) for f, keys in of.items())))
+    return rows.select("id", F.explode(F.array_distinct(each)).alias("k")).select("k.family", "k.key", "id")
+
+
+def block_families(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks, members and the largest block of each family of keys."""
+    sizes = _families(spark, d).groupBy("family", "key").agg(F.count("*").alias("size"))
+    return sizes.groupBy("family").agg(F.count("*").alias("blocks"), F.sum("size").alias("members"), F.max("size").alias("largest"))
+
+
+def family_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that share an exact, parent, anchor or gram key with at most 24 others."""
+    return linking.blocked_pairs(_families(spark, d).select("key", "id"))
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(edges (a, b, score), members (node, root)) of the pairs that score 75 or more."""
+    edges = checkpointed(pair_score_additive(spark, d).select("a", "b", "score"))
+    return edges, checkpointed(components(edges))
+
+
+def clusters_by_score(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters, those with the best edge first."""
+    edges, members = _clustered(spark, d)
+    best = edges.join(members, F.col("a") == F.col("node")).groupBy("root").agg(F.max("score").alias("best"), F.count("*").alias("edges"))
+    return members.groupBy("root").agg(F.count("*").alias("n")).join(best, "root").orderBy(F.desc("best"), "root")
+
+
+def cluster_pair_check(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs inside each cluster without an edge of their own, and pairs whose owners or provinces differ.
+
+    Counted from the members' values (n over 2 less the pairs of equal ones), so no cluster is expanded into its pairs.
+    """
+    edges, members = _clustered(spark, d)
+    pairs = lambda n: n * (n - 1) / 2
+    linked = edges.join(members, F.col("a") == F.col("node")).groupBy("root").agg(F.count("*").alias("edges"))
+    out = members.groupBy("root").agg(F.count("*").alias("n")).join(linked, "root").select("root", "n", (pairs(F.col("n")) - F.col("edges")).cast("long").alias("unlinked"))
+    valued = members.join(_named(spark, d).select(F.col("id").alias("node"), "owner", "province"), "node")
+    for field in ("owner", "province"):
+        counts = valued.filter(f"{field} <> ''").groupBy("root", field).agg(F.count("*").alias("c"))
+        other = counts.groupBy("root").agg((pairs(F.sum("c")) - F.sum(pairs(F.col("c")))).cast("long").alias(f"other_{field}"))
+        out = out.join(other, "root", "left").fillna(0, [f"other_{field}"])
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ngram_block_sizes, ngram_blocking_pairs, ngram_jaccard_pairs, pair_score_additive, pair_score_whole, matching_ratio_pairs, candidate_queue_merge, components_min_label,
-        cluster_conflicts, cluster_names, duplicate_audit, event_first_fit, event_groups,
+        cluster_conflicts, cluster_names, block_families, family_pairs, clusters_by_score, cluster_pair_check, duplicate_audit, event_first_fit, event_groups,
     )
 }
 
@@ -187,8 +245,31 @@ leaders AS (SELECT owner, project_stage, min(day) AS leader FROM days GROUP BY 1
   UNION SELECT l.owner, l.project_stage, (SELECT min(d.day) FROM days d WHERE d.owner = l.owner AND d.project_stage = l.project_stage AND d.day > l.leader + 7) FROM leaders l WHERE l.leader IS NOT NULL),
 led AS (SELECT e.id, e.source_site, e.owner, e.project_stage, e.day, max(l.leader) AS leader FROM e JOIN leaders l ON l.owner = e.owner AND l.project_stage = e.project_stage AND l.leader <= e.day GROUP BY ALL)
 """
+_FAMILIES = (
+    _NAMED
+    + rf""", base AS (SELECT id, province, name, regexp_replace(name, '{LOT}', '', 'g') AS parent FROM named WHERE province <> '' AND name <> ''),
+each AS (SELECT id, 'exact' AS family, province, name AS k FROM base UNION ALL SELECT id, 'parent', province, parent FROM base
+  UNION ALL SELECT id, 'gram', province, substring(parent, i, 6) FROM (SELECT *, unnest(range(1, greatest(length(parent) - 5, 1) + 1)) AS i FROM base WHERE parent <> '')
+  UNION ALL SELECT id, 'anchor', province, unnest(list_concat(regexp_extract_all(name, '{ANCHORS[0]}', 0), regexp_extract_all(name, '{ANCHORS[1]}', 0))) FROM base),
+fam AS (SELECT DISTINCT id, family, family || '|' || province || '|' || k AS key FROM each)
+"""
+)
+_CLUSTERS = _SCORES + """, sym AS (SELECT a, b FROM good UNION SELECT b, a FROM good),
+reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON s.a = r.other),
+comp AS (SELECT node, min(other) AS root FROM reach GROUP BY 1), ec AS (SELECT root, score FROM good JOIN comp ON node = a),
+sizes AS (SELECT root, count(*) AS n FROM comp GROUP BY 1), linked AS (SELECT root, max(score) AS best, count(*) AS edges FROM ec GROUP BY 1)
+"""
+
+
+def _other(field: str) -> str:
+    return f"(SELECT root, CAST((sum(c) * (sum(c) - 1) - sum(c * (c - 1))) / 2 AS BIGINT) AS other_{field} FROM (SELECT root, {field}, count(*) AS c FROM comp JOIN named ON id = node WHERE {field} <> '' GROUP BY 1, 2) GROUP BY 1)"
+
 
 SQL = {
+    "block_families": _FAMILIES + "SELECT family, count(*) AS blocks, CAST(sum(size) AS BIGINT) AS members, max(size) AS largest FROM (SELECT family, key, count(*) AS size FROM fam GROUP BY 1, 2) GROUP BY 1",
+    "family_pairs": _FAMILIES + ", kept AS (SELECT * FROM fam WHERE key IN (SELECT key FROM fam GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25)) SELECT DISTINCT x.id AS a, y.id AS b FROM kept x JOIN kept y ON x.key = y.key AND x.id < y.id",
+    "clusters_by_score": _CLUSTERS + "SELECT root, n, best, edges FROM sizes JOIN linked USING (root)",
+    "cluster_pair_check": _CLUSTERS + f"SELECT root, n, CAST(n * (n - 1) / 2 - edges AS BIGINT) AS unlinked, coalesce(other_owner, 0) AS other_owner, coalesce(other_province, 0) AS other_province FROM sizes JOIN linked USING (root) LEFT JOIN {_other('owner')} USING (root) LEFT JOIN {_other('province')} USING (root)",
     "ngram_block_sizes": _PAIRS + "SELECT size, count(*) AS blocks FROM sized GROUP BY 1",
     "ngram_blocking_pairs": _PAIRS + "SELECT * FROM pairs",
     "ngram_jaccard_pairs": _PAIRS + "SELECT a, b, round(jaccard, 4) AS jaccard FROM both_",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, grouping, linking, relating, reports, searching, streams, texts, tracking
+from . import events, grouping, identities, linking, relating, reports, searching, streams, texts, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (tracking, grouping, texts, linking, relating, events, searching, reports, streams)
+_MODULES = (tracking, grouping, texts, identities, linking, relating, events, searching, reports, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, facts, search
+from ..operators import evaluation, facts, search, textindex
+from ..session import working_folder
 from .tables import table
 from .texts import PRODUCTS
 
@@ -24,10 +25,19 @@ def bm25_search_han(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(docs, "doc_id", search.pairs_of_han(F.col("text")), HAN)
 
 
+def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search from a stored index that took the documents in two batches, one of them twice."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = textindex.TextIndex(spark, working_folder(spark, "text-index"))
+    index.add(docs.filter("id % 2 = 0").withColumn("text", F.lit("drainage works")), 1)
+    index.add(docs.filter("id % 2 = 1"), 2)
+    index.add(docs.filter("id % 2 = 0"), 3)
+    return index.search(textindex.query_terms(" ".join(ENGLISH)))
+
+
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text").filter(F.lower("text").contains("drainage works"))
-    posted, _ = search.postings(docs, "doc_id", search.tokens(F.col("text")))
-    return search.phrase(posted, ENGLISH).select("id", F.size("starts").alias("times"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), search.tokens(F.col("text")).alias("t"))
+    return search.phrase_in(docs, ENGLISH).select("id", F.size("starts").alias("times"))
 
 
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -35,9 +45,15 @@ def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     return docs.filter("snippet is not null")
 
 
+def token_snippets(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", search.token_snippet(search.tokens(F.col("text")), "drainage").alias("snippet"))
+    return docs.filter("snippet is not null")
+
+
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.explode(search.tokens(F.col("text"))).alias("term")).filter(F.col("term").rlike("^[a-z]+$"))
-    return docs.groupBy("term").agg(F.count("*").alias("tf"), F.count_distinct("doc_id").alias("df"))
+    docs = table(spark, d, "documents").select("doc_id", F.explode(search.tokens(F.col("text"))).alias("term"))
+    per = docs.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +117,7 @@ def fact_difference(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_search_han, phrase_search, search_snippets, term_statistics, evaluation_micro, evaluation_by_class, rater_agreement,
+        bm25_search, bm25_search_han, stored_index_search, phrase_search, search_snippets, token_snippets, term_statistics, evaluation_micro, evaluation_by_class, rater_agreement,
         fact_best_by_rank, fact_conflicts, fact_source_counts, fact_review_queue, fact_difference,
     )
 }
@@ -124,8 +140,16 @@ _LABEL = "CASE WHEN contains(coalesce({0}, ''), '北京') THEN '北京市' WHEN
 _FACTS = "WITH f AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT id * 3 + {i} AS id, id AS notice_id, {_LABEL.format(c)} AS value, '{s}' AS source, {conf} AS confidence, {rank} AS source_rank FROM project" for i, (c, s, conf, rank) in enumerate((("region", "field", 0.9, 3), ("project_name", "title", 0.7, 2), ("raw_text", "body", 0.4, 1)))) + ") WHERE value <> '')"
 SQL = {
     "bm25_search": _bm25_sql(_TOKENS, ENGLISH),
+    "stored_index_search": _bm25_sql(_TOKENS, ENGLISH),
     "bm25_search_han": _bm25_sql(_HAN, HAN),
-    "term_statistics": f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE regexp_full_match(term, '[a-z]+') GROUP BY 1",
+    "term_statistics": f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1",
+    "phrase_search": f"SELECT id, len(s) AS times FROM (SELECT doc_id AS id, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'drainage' AND t[i + 1] = 'works') AS s FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)) WHERE len(s) > 0",
+    "search_snippets": """
+WITH c AS (SELECT doc_id, text, instr(lower(text), '沉箱') AS spot FROM documents), w AS (SELECT *, greatest(spot - 24, 1) AS start FROM c WHERE spot > 0)
+SELECT doc_id, CASE WHEN start > 1 THEN '…' ELSE '' END || substring(text, start, spot - start) || '[' || substring(text, spot, 2) || ']' || substring(text, spot + 2, 24) || CASE WHEN length(text) >= spot + 26 THEN '…' ELSE '' END AS snippet FROM w""",
+    "token_snippets": f"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents), w AS (SELECT doc_id, t, list_position(t, 'drainage') AS spot FROM t WHERE list_contains(t, 'drainage')), s AS (SELECT *, greatest(spot - 12, 1) AS start FROM w)
+SELECT doc_id, CASE WHEN start > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(t[start:start + 23], lambda x: CASE WHEN x = 'drainage' THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN len(t) > start + 23 THEN ' …' ELSE '' END AS snippet FROM s""",
     "evaluation_micro": _SETS + """, c AS (SELECT len(list_intersect(g, p)) AS tp, len(p) - len(list_intersect(g, p)) AS fp, len(g) - len(list_intersect(g, p)) AS fn FROM s),
 t AS (SELECT count(*) AS cases, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) FILTER (fp = 0 AND fn = 0) AS exact FROM c)
 SELECT cases, tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, exact FROM t""",

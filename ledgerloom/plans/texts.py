@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,7 +16,7 @@ REGIONS = {"北京": ["北京", "京畿"], "天津": ["天津"], "河北": ["河
 STAGES = {"结果": ["中标", "成交"], "招标": ["招标公告", "采购公告", "资格预审"], "计划": ["计划"]}
 SUFFIXES = ["招标计划", "施工招标公告", "招标公告", "资格预审公告", "竞争性谈判采购公告", "中标候选人公示", "中标结果公告"]
 #: Patterns of identifiers inside texts.
-IDENTIFIERS = {"交易项目编号": r"\b(S\d{6,}[A-Za-z0-9_-]*)\b", "工程编号": r"\b(20\d{2}[-－—][A-Za-z0-9]{2,24})\b", "项目编号": r"(?:工程|项目|交易|招标)编号[：:\s]*([A-Za-z0-9][A-Za-z0-9_.-]{4,40})"}
+IDENTIFIERS = {"交易项目编号": r"(?i)\b(S\d{6,}[A-Za-z0-9_-]*)\b", "工程编号": r"(?i)\b(20\d{2}[-－—][A-Za-z0-9]{2,24})\b", "项目编号": r"(?i)(?:工程|项目|交易|招标)编号[：:\s]*([A-Za-z0-9][A-Za-z0-9_.-]{4,40})"}
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -34,20 +34,36 @@ def negation_contexts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("contexts"), F.count_if(T.negated(F.col("sentence"), WORDS, BEFORE, AFTER)).alias("negated"))
 
 
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """(id, e): the evidence of each product named, all inside the notice's row."""
+    marked = F.filter(F.transform(T.sentences(F.col("raw_text")), lambda x, i: F.struct(i.alias("pos"), x.alias("s"))), lambda x: x["s"].rlike("|".join(WORDS)))
+    rows = table(spark, d, "project").select("id", marked.alias("m")).filter(F.size("m") > 0)
+
+    def side(ws: list[str]) -> Column:
+        return F.transform(F.filter("m", lambda x: x["s"].rlike("|".join(ws))), lambda x: F.struct(x["pos"].alias("pos"), T.negated(x["s"], ws, BEFORE, AFTER).alias("no")))
+
+    per = F.array(*(F.struct(F.lit(p).alias("product"), side(ws).alias("hits")) for p, ws in PRODUCTS.items()))
+    found = F.transform(
+        F.filter("per", lambda e: F.size(e["hits"]) > 0),
+        lambda e: F.struct(e["product"].alias("product"), F.size(F.filter(e["hits"], lambda h: ~h["no"])).cast("long").alias("positive"), F.size(F.filter(e["hits"], lambda h: h["no"])).cast("long").alias("negative"), e["hits"][0]["pos"].alias("first_pos")),
+    )
+    return rows.select("id", per.alias("per")).select("id", found.alias("e"))
+
+
+def _strength(e: Column) -> Column:
+    return (F.when(e["positive"] == 0, 0).otherwise(F.least(F.lit(100), 40 + 20 * e["positive"]) - F.when(e["negative"] > 0, 20).otherwise(0))).cast("int")
+
+
 def product_evidence(spark: SparkSession, d: str) -> DataFrame:
     """One row per notice and product named: sentences for and against, title hit, strength."""
-    per = F.explode(F.array(*(F.struct(F.lit(p).alias("product"), F.col("sentence").rlike("|".join(ws)).alias("hit"), T.negated(F.col("sentence"), ws, BEFORE, AFTER).alias("no")) for p, ws in PRODUCTS.items()))).alias("e")
-    rows = _sentences(spark, d).filter(F.col("sentence").rlike("|".join(WORDS))).select("id", "pos", per).filter("e.hit")
-    found = rows.groupBy("id", "e.product").agg(F.count_if(~F.col("e.no")).alias("positive"), F.count_if(F.col("e.no")).alias("negative"), F.min("pos").alias("first_pos"))
-    strength = F.when(F.col("positive") == 0, 0).otherwise(F.least(F.lit(100), 40 + 20 * F.col("positive")) - F.when(F.col("negative") > 0, 20).otherwise(0))
-    return found.withColumn("strength", strength.cast("int"))
+    rows = _evidence(spark, d).select("id", F.explode("e").alias("e"))
+    return rows.select("id", "e.product", "e.positive", "e.negative", "e.first_pos", _strength(F.col("e")).alias("strength"))
 
 
 def evidence_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Per notice: the strongest product (the earliest named of equals), and how many are named at all."""
-    rows = product_evidence(spark, d)
-    best = F.max_by("product", F.struct("strength", -F.col("first_pos"), "product"))
-    return rows.groupBy("id").agg(best.alias("strongest"), F.max("strength").alias("strength"), F.count("*").alias("products"))
+    best = F.array_max(F.transform("e", lambda x: F.struct(_strength(x).alias("strength"), (-x["first_pos"]).alias("at"), x["product"].alias("product"))))
+    return _evidence(spark, d).select("id", best.alias("b"), F.size("e").cast("long").alias("products")).select("id", F.col("b.product").alias("strongest"), "b.strength", "products")
 
 
 def evidence_excerpts(spark: SparkSession, d: str) -> DataFrame:
@@ -85,25 +101,19 @@ def identity_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def lines_of_labels(spark: SparkSession, d: str) -> DataFrame:
     """Lines that begin with a label and a colon, with the value, or the next line where the value is empty."""
-    from pyspark.sql import Window
-
-    lines = table(spark, d, "project").select("id", F.posexplode(F.split("raw_text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("id").orderBy("pos")
-    lines = lines.withColumn("next", F.lead("line").over(w))
+    cut = table(spark, d, "project").select("id", F.split("raw_text", "\n").alias("l"))
+    lines = cut.select("id", F.posexplode(F.arrays_zip("l", F.slice("l", 2, F.size("l")).alias("next"))).alias("pos", "x")).select("id", "pos", F.col("x.l").alias("line"), "x.next")
     label = F.regexp_extract("line", r"^([^：:\s，。]{2,8})[：:]", 1)
     value = F.trim(F.regexp_replace("line", r"^[^：:\s，。]{2,8}[：:]", ""))
-    rows = lines.filter(label != "").select("id", "pos", label.alias("label"), F.coalesce(F.nullif(value, F.lit("")), F.trim("next"), F.lit("")).alias("value"))
-    return rows
+    return lines.filter(label != "").select("id", "pos", label.alias("label"), F.coalesce(F.nullif(value, F.lit("")), F.trim("next"), F.lit("")).alias("value"))
 
 
 def preceding_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that hold a date of publication with the two lines before them."""
-    from pyspark.sql import Window
-
-    lines = table(spark, d, "project").select("id", F.posexplode(F.split("raw_text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("id").orderBy("pos")
-    lines = lines.withColumns({"one_before": F.lag("line", 1).over(w), "two_before": F.lag("line", 2).over(w)})
-    return lines.filter(F.col("line").rlike("发布时间|更新时间")).select("id", "pos", "one_before", "two_before")
+    """Lines that hold a date of publication with the three lines before them."""
+    cut = table(spark, d, "project").select("id", F.split("raw_text", "\n").alias("l"))
+    before = [F.concat(F.array_repeat(F.lit(None).cast("string"), n), "l").alias(f"b{n}") for n in (1, 2, 3)]
+    each = cut.select("id", "l", *before).select("id", F.posexplode(F.arrays_zip("l", "b1", "b2", "b3")).alias("pos", "x"))
+    return each.filter(F.col("x.l").rlike("发布时间|更新时间")).select("id", "pos", F.col("x.b1").alias("one_before"), F.col("x.b2").alias("two_before"), F.col("x.b3").alias("three_before"))
 
 
 def document_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -178,8 +188,8 @@ SELECT id, lower(regexp_replace(coalesce(project_name, ''), '[\s\p{Z}\p{P}\p{S}\
     "lines_of_labels": _LINES + r""", w AS (SELECT *, lead(line) OVER (PARTITION BY id ORDER BY pos) AS next FROM n)
 SELECT id, pos, regexp_extract(line, '^([^：:\s，。]{2,8})[：:]', 1) AS label, coalesce(nullif(trim(regexp_replace(line, '^[^：:\s，。]{2,8}[：:]', ''), ' '), ''), trim(next, ' '), '') AS value
 FROM w WHERE regexp_matches(line, '^[^：:\s，。]{2,8}[：:]')""",
-    "preceding_lines": _LINES + """, w AS (SELECT *, lag(line) OVER o AS one_before, lag(line, 2) OVER o AS two_before FROM n WINDOW o AS (PARTITION BY id ORDER BY pos))
-SELECT id, pos, one_before, two_before FROM w WHERE regexp_matches(line, '发布时间|更新时间')""",
+    "preceding_lines": _LINES + """, w AS (SELECT *, lag(line) OVER o AS one_before, lag(line, 2) OVER o AS two_before, lag(line, 3) OVER o AS three_before FROM n WINDOW o AS (PARTITION BY id ORDER BY pos))
+SELECT id, pos, one_before, two_before, three_before FROM w WHERE regexp_matches(line, '发布时间|更新时间')""",
     "document_profile": """
 SELECT source, lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (coalesce(trim(text, ' '), '') = '') AS empty,
        count(DISTINCT sha256(text)) AS distinct_texts, max(n_chars) AS longest FROM documents GROUP BY 1, 2""",

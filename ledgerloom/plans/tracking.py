@@ -16,9 +16,10 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cdc_daily_rollup(spark: SparkSession, d: str) -> DataFrame:
-    # flags see all runs, failed ones too; only then are failed runs dropped
+    # a second write in a run is ignored; flags see all runs, failed ones too; only then are failed runs dropped
+    once = changes.once_per_run(_observations(spark, d), "run_id", "notice_id", "id")
     runs = table(spark, d, "source_run").filter("status <> 'failed'").select(F.col("id").alias("run_id"))
-    flagged = changes.flags(_observations(spark, d), "notice_id", ["run_id", "id"], "content_hash")
+    flagged = changes.flags(once, "notice_id", ["run_id", "id"], "content_hash")
     return changes.daily_status(flagged.join(runs, "run_id", "left_semi"), "notice_id", "observed_at")
 
 
@@ -67,11 +68,12 @@ def run_reconciliation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observation_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Observations whose run is missing or belongs to another source."""
+    """Observations whose run is missing or belongs to another source, or that a run wrote a second time."""
     runs = table(spark, d, "source_run").select(F.col("id").alias("run_id"), F.col("source_id").alias("run_source"))
-    rows = table(spark, d, "notice_observation").select("id", "run_id", "source_id")
-    why = F.when(F.col("run_source").isNull(), "no such run").when(F.col("run_source") != F.col("source_id"), "another source")
-    return rows.join(runs, "run_id", "left").select("id", why.alias("violation")).filter("violation is not null")
+    rows = table(spark, d, "notice_observation").select("id", "run_id", "notice_id", "source_id")
+    first = rows.groupBy("run_id", "notice_id").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    why = F.when(F.col("run_source").isNull(), "no such run").when(F.col("run_source") != F.col("source_id"), "another source").when(F.col("id") > F.col("first"), "second write")
+    return rows.join(runs, "run_id", "left").join(first, ["run_id", "notice_id"], "left").select("id", why.alias("violation")).filter("violation is not null")
 
 
 def business_day_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -128,8 +130,9 @@ def upsert_latest_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_differences(spark: SparkSession, d: str) -> DataFrame:
-    """Fields that differ between each notice and the earlier one at the same address."""
-    rows = table(spark, d, "project").select("id", "url", "project_name", "owner", "region", "ai_score")
+    """Fields that differ between each notice and the earliest one at the same address, protocol and parameters apart."""
+    page = F.regexp_replace(F.lower("url"), r"^https?://|[?#].*$", "")
+    rows = table(spark, d, "project").select("id", page.alias("url"), "project_name", "owner", "region", "ai_score")
     firsts = rows.groupBy("url").agg(F.min("id").alias("first"))
     later = rows.join(firsts, "url").filter("id > first")
     fields = ["project_name", "owner", "region", "ai_score"]
@@ -168,7 +171,10 @@ def dynamic_predicate_scan(spark: SparkSession, d: str, project_no: str | None =
 
 
 def never_observed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "project").select("id", "source_site").join(table(spark, d, "notice_observation").select(F.col("notice_id").alias("id")), "id", "left_anti")
+    """Notices that no successful run has seen."""
+    good = table(spark, d, "source_run").filter("status = 'success'").select(F.col("id").alias("run_id"))
+    seen = table(spark, d, "notice_observation").join(good, "run_id", "left_semi").select(F.col("notice_id").alias("id"))
+    return table(spark, d, "project").select("id", "source_site").join(seen, "id", "left_anti")
 
 
 def seen_in_failed_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -179,11 +185,22 @@ def seen_in_failed_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def late_observations(spark: SparkSession, d: str) -> DataFrame:
     """Observations inserted after a later one of the same source and run."""
-    from pyspark.sql import Window
+    rows = table(spark, d, "notice_observation").select("id", "run_id", "source_id", "observed_at")
+    return changes.latest_before(rows, ["run_id", "source_id"], "id", "observed_at").filter("observed_at < latest_before").select("id", "observed_at", "latest_before")
+
+
+def canonical_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """SHA-256 of the canonical JSON (sorted names, no blanks) of the fields' business wording."""
+    fields = {("name" if n == "project_name" else "stage" if n == "project_stage" else n): validation.normalised(F.col(n)) for n in CONTENT}
+    return table(spark, d, "project").select("id", validation.canonical_fingerprint(fields).alias("fingerprint"))
 
-    w = Window.partitionBy("run_id", "source_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, d, "notice_observation").select("id", "run_id", "source_id", "observed_at", F.max("observed_at").over(w).alias("latest_before"))
-    return rows.filter("observed_at < latest_before").select("id", "observed_at", "latest_before")
+
+def first_seen_flags(spark: SparkSession, d: str) -> DataFrame:
+    """First observations that are news: the notice wasn't there on a day before it."""
+    once = changes.once_per_run(_observations(spark, d), "run_id", "notice_id", "id")
+    first = changes.flags(once, "notice_id", ["run_id", "id"], "content_hash").filter("is_first")
+    made = table(spark, d, "project").select(F.col("id").alias("notice_id"), "created_at")
+    return first.join(made, "notice_id").select("id", "notice_id", (F.to_date("created_at") >= F.to_date("observed_at")).alias("is_news"))
 
 
 QUERIES = {
@@ -191,7 +208,7 @@ QUERIES = {
     for f in (
         cdc_daily_rollup, cdc_flags, observation_repeats, source_status_latest, source_health_baseline, source_funnel, source_run_summary, run_reconciliation,
         observation_violations, business_day_counts, validate_reject_reasons, reject_reason_counts, publish_dates, recency_filter, content_fingerprint, content_fingerprint_normal,
-        upsert_latest_by_key, version_differences, snapshot_merge_by_url, recent_topk, follow_up_topk, dynamic_predicate_scan, never_observed, seen_in_failed_runs, late_observations,
+        upsert_latest_by_key, version_differences, snapshot_merge_by_url, recent_topk, follow_up_topk, dynamic_predicate_scan, never_observed, seen_in_failed_runs, late_observations, canonical_fingerprints, first_seen_flags,
     )
 }
 
@@ -210,8 +227,9 @@ _RANK = "CASE status WHEN 'success' THEN 1 WHEN 'warning' THEN 2 WHEN 'partial'
 
 SQL = {
     "cdc_daily_rollup": """
-WITH f AS (SELECT *, row_number() OVER w = 1 AS is_first, row_number() OVER w > 1 AND lag(content_hash) OVER w IS DISTINCT FROM content_hash AS is_changed
-           FROM notice_observation WINDOW w AS (PARTITION BY notice_id ORDER BY run_id, id))
+WITH o AS (SELECT * FROM notice_observation QUALIFY row_number() OVER (PARTITION BY run_id, notice_id ORDER BY id) = 1),
+f AS (SELECT *, row_number() OVER w = 1 AS is_first, row_number() OVER w > 1 AND lag(content_hash) OVER w IS DISTINCT FROM content_hash AS is_changed
+           FROM o WINDOW w AS (PARTITION BY notice_id ORDER BY run_id, id))
 SELECT notice_id, CAST(observed_at AS DATE) AS day,
        CASE WHEN bool_or(is_first) THEN 'NEW' WHEN bool_or(is_changed) THEN 'UPDATED' ELSE 'SEEN_AGAIN' END AS status,
        min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS n
@@ -237,8 +255,9 @@ SELECT source_id, count(*) AS runs, count(*) FILTER (status = 'success') AS good
 SELECT r.id AS run_id, r.item_count, coalesce(s.observed, 0) AS observed, coalesce(s.notices, 0) AS notices, coalesce(s.observed, 0) - coalesce(r.item_count, 0) AS difference
 FROM source_run r LEFT JOIN (SELECT run_id, count(*) AS observed, count(DISTINCT notice_id) AS notices FROM notice_observation GROUP BY 1) s ON s.run_id = r.id""",
     "observation_violations": """
-SELECT o.id, CASE WHEN r.id IS NULL THEN 'no such run' ELSE 'another source' END AS violation
-FROM notice_observation o LEFT JOIN source_run r ON r.id = o.run_id WHERE r.id IS NULL OR r.source_id <> o.source_id""",
+SELECT * FROM (SELECT o.id, CASE WHEN r.id IS NULL THEN 'no such run' WHEN r.source_id <> o.source_id THEN 'another source'
+    WHEN row_number() OVER (PARTITION BY o.run_id, o.notice_id ORDER BY o.id) > 1 THEN 'second write' END AS violation
+FROM notice_observation o LEFT JOIN source_run r ON r.id = o.run_id) WHERE violation IS NOT NULL""",
     "business_day_counts": """
 SELECT source_id, CAST(observed_at AS DATE) AS day, count(*) AS n, CAST(sum(is_first_seen) AS BIGINT) AS first_seen, CAST(sum(content_changed) AS BIGINT) AS changed
 FROM notice_observation GROUP BY 1, 2""",
@@ -251,7 +270,7 @@ FROM notice_observation GROUP BY 1, 2""",
 SELECT source_site, url, min(id) AS id, arg_max(project_name, id) AS project_name, arg_max(ai_score, id) AS ai_score, arg_max(created_at, id) AS created_at, count(*) AS versions
 FROM project GROUP BY 1, 2""",
     "version_differences": """
-WITH p AS (SELECT id, url, project_name, owner, region, ai_score, min(id) OVER (PARTITION BY url) AS first FROM project)
+WITH p AS (SELECT id, url, project_name, owner, region, ai_score, min(id) OVER (PARTITION BY regexp_replace(lower(url), '^https?://|[?#].*$', '', 'g')) AS first FROM project)
 SELECT n.id, concat_ws(',', CASE WHEN n.project_name IS DISTINCT FROM o.project_name THEN 'project_name' END, CASE WHEN n.owner IS DISTINCT FROM o.owner THEN 'owner' END,
        CASE WHEN n.region IS DISTINCT FROM o.region THEN 'region' END, CASE WHEN n.ai_score IS DISTINCT FROM o.ai_score THEN 'ai_score' END) AS changed
 FROM p n JOIN project o ON o.id = n.first WHERE n.id > n.first AND (n.project_name, n.owner, n.region, n.ai_score) IS DISTINCT FROM (o.project_name, o.owner, o.region, o.ai_score)""",
@@ -263,8 +282,12 @@ FROM notice_observation o JOIN source_run r ON r.id = o.run_id JOIN project p ON
 SELECT id, project_name, {_PUBLISHED} AS published, ai_score FROM project WHERE notice_actionability = 'OPEN' AND project_tracking_recommendation = 'ACTIVE_WATCH'
 ORDER BY published DESC NULLS LAST, ai_score DESC NULLS LAST, id DESC LIMIT 30""",
     "dynamic_predicate_scan": "SELECT id, project_no, source_site, ai_score FROM project WHERE source_site = '京畿工程交易协同网' AND ai_score >= 50",
-    "never_observed": "SELECT id, source_site FROM project WHERE id NOT IN (SELECT notice_id FROM notice_observation WHERE notice_id IS NOT NULL)",
+    "never_observed": "SELECT id, source_site FROM project WHERE id NOT IN (SELECT notice_id FROM notice_observation WHERE notice_id IS NOT NULL AND run_id IN (SELECT id FROM source_run WHERE status = 'success'))",
     "seen_in_failed_runs": "SELECT id, source_site FROM project WHERE id IN (SELECT notice_id FROM notice_observation WHERE run_id IN (SELECT id FROM source_run WHERE status IN ('failed', 'partial')))",
+    "first_seen_flags": """
+WITH o AS (SELECT * FROM notice_observation QUALIFY row_number() OVER (PARTITION BY run_id, notice_id ORDER BY id) = 1),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY notice_id ORDER BY run_id, id) = 1)
+SELECT f.id, notice_id, CAST(created_at AS DATE) >= CAST(observed_at AS DATE) AS is_news FROM f JOIN project p ON p.id = notice_id""",
     "late_observations": """
 SELECT id, observed_at, latest_before FROM (SELECT id, observed_at, max(observed_at) OVER (PARTITION BY run_id, source_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_before
 FROM notice_observation) WHERE observed_at < latest_before""",

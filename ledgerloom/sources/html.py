@@ -15,9 +15,10 @@ from pyspark.sql.types import StringType
 
 SKIPPED = {"script", "style", "noscript", "template"}
 BLOCKS = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "table", "article", "section", "ul", "ol", "td", "th"}
-#: Kinds of attachments, and words that announce one.
+#: Kinds of attachments, words that announce one, pieces of paths of downloads.
 EXTENSIONS = (".pdf", ".docx", ".xlsx", ".zip")
 MARKERS = ("附件", "下载", "初步设计", "施工图", "招标文件", "工程量清单")
+DOWNLOADS = ("attachment", "download", "upload")
 _DATE = re.compile(r"(20\d{2})[-年./](\d{1,2})[-月./](\d{1,2})")
 
 
@@ -89,7 +90,7 @@ def html_text(html: pd.Series) -> pd.Series:
 def attachment_links(html: str | None, url: str | None) -> list[tuple[str, str]]:
     """(address, title) of a page's attachments: absolute, without fragment, one row an address, the last title of it.
 
-    A link counts if its path has a known extension, or if its title announces a document and the path isn't the page's own.
+    A link counts if its path has a known extension, or if its title announces a document and its path a download.
     """
     found: dict[str, str] = {}
     for href, title in _parsed(html).links:
@@ -101,7 +102,7 @@ def attachment_links(html: str | None, url: str | None) -> list[tuple[str, str]]
         if parts.scheme not in ("http", "https"):
             continue
         known = parts.path.lower().endswith(EXTENSIONS)
-        if known or any(m in title for m in MARKERS) and parts.path.strip("/") and full != url:
+        if known or any(m in title for m in MARKERS) and any(x in parts.path.lower() for x in DOWNLOADS):
             found[full] = title
     return list(found.items())
 

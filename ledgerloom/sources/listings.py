@@ -61,12 +61,17 @@ def search_terms(preferred: Column, fallback: Column) -> Column:
     return F.when(F.size(clean(preferred)) > 0, clean(preferred)).otherwise(clean(fallback))
 
 
+#: Words of pages that limit the rate, block, or ask to log in again.
+LIMITED, BLOCKED, EXPIRED = "too many requests|访问频繁|请求过于频繁", "cloudwaf|访问被拦截|疑似攻击行为", "登录状态已失效|请登录|重新登录"
+
+
 def response_kind(status: Column, title: Column, body: Column) -> Column:
-    """What a stored reply is, in strict order: rate limited, blocked, missing, failed, login, captcha, empty, ok."""
-    text = F.concat_ws(" ", title, body)
+    """What a stored reply is, the first that holds: RATE_LIMIT, WAF, AUTH_EXPIRED, UPSTREAM_BROKEN, ERROR, OK. A null status is an error."""
+    text = F.lower(F.concat_ws("\n", title, body))
+    code = F.coalesce(status, F.lit(0))
     return (
-        F.when(status == 429, "rate_limited").when(status.isin(403, 418), "blocked").when(status == 404, "missing").when(status >= 400, "failed")
-        .when(text.rlike("验证码|captcha"), "captcha").when(title.rlike("登录|login"), "login").when(F.length(F.trim(F.coalesce(body, F.lit("")))) == 0, "empty").otherwise("ok")
+        F.when((code == 429) | text.rlike(LIMITED), "RATE_LIMIT").when(code.isin(403, 418) | text.rlike(BLOCKED), "WAF").when(text.rlike(EXPIRED), "AUTH_EXPIRED")
+        .when(code >= 500, "UPSTREAM_BROKEN").when((code >= 400) | (code == 0), "ERROR").otherwise("OK")
     )
 
 

@@ -6,14 +6,14 @@ from ledgerloom.sources import attachments, html, listings
 from ledgerloom.streaming import observations
 from pyspark.sql import functions as F
 
-PAGE = '<html><head><style>x{}</style><script>var a="<p>";</script></head><body><h1>标题 &amp; 名</h1><ul><li><a href="/d/1.html">甲工程公告</a><span>2025-1-3</span></li><li><a href="b.html">no date</a></li></ul><a href="f/图.pdf#p">图纸</a><a href="x?id=3">招标文件下载</a><a href="javascript:void(0)">附件</a></body></html>'
+PAGE = '<html><head><style>x{}</style><script>var a="<p>";</script></head><body><h1>标题 &amp; 名</h1><ul><li><a href="/d/1.html">甲工程公告</a><span>2025-1-3</span></li><li><a href="b.html">no date</a></li></ul><a href="f/图.pdf#p">图纸</a><a href="download?id=3">招标文件下载</a><a href="x?id=3">招标文件下载</a><a href="javascript:void(0)">附件</a></body></html>'
 
 
 def test_html_text_and_links(spark, rows):
     df = spark.createDataFrame([("https://a.test/l/", PAGE), ("https://a.test/n", None), (None, "")], "url string, html string")
     texts = [r.t for r in df.select(html.html_text("html").alias("t")).collect()]
     assert texts[0].split("\n")[0] == "标题 & 名" and "var a" not in texts[0] and texts[1] is None and texts[2] == ""
-    assert rows(html.links(df), "url", "title") == [("https://a.test/l/f/图.pdf", "图纸"), ("https://a.test/l/x?id=3", "招标文件下载")]
+    assert rows(html.links(df), "url", "title") == [("https://a.test/l/download?id=3", "招标文件下载"), ("https://a.test/l/f/图.pdf", "图纸")]
     assert rows(html.list_rows(df), "title", "date", "url") == [("甲工程公告", "2025-01-03", "https://a.test/d/1.html")]
 
 
@@ -34,8 +34,8 @@ def test_cells_lines_and_union(spark, rows):
 def test_registry_and_replies(spark, rows):
     s = spark.createDataFrame([("a", True), ("a", True), ("b", True), ("c", False)], "id string, enabled boolean")
     assert rows(listings.registry_errors(s, spark.createDataFrame([("a",)], "id string"))) == [("a", "duplicate id"), ("b", "no reader")]
-    r = spark.createDataFrame([(429, "", ""), (403, "", ""), (200, "登录", "x"), (200, "t", "请输入验证码"), (200, "t", ""), (200, "t", "x"), (500, "t", "x")], "s int, t string, b string")
-    assert [x.k for x in r.select(listings.response_kind(F.col("s"), F.col("t"), F.col("b")).alias("k")).collect()] == ["rate_limited", "blocked", "login", "captcha", "empty", "ok", "failed"]
+    r = spark.createDataFrame([(200, "", "访问频繁"), (429, "", "请登录"), (403, "", ""), (200, "t", "CloudWAF"), (200, "t", "请重新登录"), (502, "t", ""), (404, "t", "x"), (None, None, None), (200, None, None)], "s int, t string, b string")
+    assert [x.k for x in r.select(listings.response_kind(F.col("s"), F.col("t"), F.col("b")).alias("k")).collect()] == ["RATE_LIMIT", "RATE_LIMIT", "WAF", "WAF", "AUTH_EXPIRED", "UPSTREAM_BROKEN", "ERROR", "ERROR", "OK"]
     assert listings.sample_notices(spark, ["x", "y"]).count() == 2
 
 
