@@ -35,13 +35,14 @@ def _docx(z: zipfile.ZipFile) -> str:
     return "\n".join(x for x in lines + tables if x.strip())
 
 
-def _xlsx(z: zipfile.ZipFile) -> str:
+def _xlsx(z: zipfile.ZipFile) -> tuple[str, bool]:
+    """Text of the cells, and whether sheets or cells beyond the limits are left out."""
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-    sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))[:SHEETS]
+    sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
     lines, cells = [], 0
-    for name in sheets:
+    for name in sheets[:SHEETS]:
         for row in ElementTree.fromstring(z.read(name)).iter(f"{_S}row"):
             values = []
             for c in row.iter(f"{_S}c"):
@@ -52,12 +53,13 @@ def _xlsx(z: zipfile.ZipFile) -> str:
             if any(values):
                 lines.append("\t".join(values))
             if cells >= CELLS:
-                return "\n".join(lines)
-    return "\n".join(lines)
+                return "\n".join(lines), True
+    return "\n".join(lines), len(sheets) > SHEETS
 
 
-def text_of(name: str, data: bytes, nested: bool = False) -> tuple[str, str]:
-    """(kind, text) of an attachment; Refused if it can't be read."""
+def text_of(name: str, data: bytes, nested: bool = False) -> tuple[str, str, bool]:
+    """(kind, text, whether a limit has cut it) of an attachment; Refused if it can't be read."""
+    cut = False
     kind = name.lower().rsplit(".", 1)[-1]
     if kind in ("txt", "md", "csv"):
         text = data.decode("utf-8", "replace")
@@ -71,21 +73,26 @@ def text_of(name: str, data: bytes, nested: bool = False) -> tuple[str, str]:
                 if kind == "zip":
                     if nested:
                         raise Refused("zip in zip")
-                    parts = [text_of(i.filename, z.read(i), True)[1] for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith((".txt", ".md", ".csv", ".docx", ".xlsx"))]
-                    text = "\n\n".join(p for p in parts if p)
+                    parts = [text_of(i.filename, z.read(i), True)[1:] for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith((".txt", ".md", ".csv", ".docx", ".xlsx"))]
+                    text, cut = "\n\n".join(p for p, _ in parts if p), any(c for _, c in parts)
+                elif kind == "docx":
+                    text = _docx(z)
                 else:
-                    text = _docx(z) if kind == "docx" else _xlsx(z)
+                    text, cut = _xlsx(z)
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, IndexError) as e:
             raise Refused(f"damaged: {type(e).__name__}") from e
     else:
         raise Refused("no reader")
-    return kind, text.replace("\x00", "")[:LONGEST]
+    text = text.replace("\x00", "")
+    return kind, text[:LONGEST], cut or len(text) > LONGEST
 
 
 def texts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, status, kind, text, error) of files as ``binaryFile`` gives them: PARSED, or FAILED with the reason.
+    """(path, status, kind, text, error, truncated, needs_ocr) of files as ``binaryFile`` gives them: PARSED, or FAILED with the reason.
 
-    A PDF has no reader here and is FAILED; null contents are too.
+    A PDF has no reader here and is FAILED; null contents are too. ``truncated`` says that sheets,
+    cells or characters beyond the limits are missing from the text, ``needs_ocr`` that a file that
+    could be read has no text, so its content must be in pictures.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,13 +102,13 @@ def texts(files: DataFrame, path: str = "path", content: str = "content") -> Dat
                 try:
                     if data is None:
                         raise Refused("no content")
-                    kind, text = text_of(p, bytes(data))
-                    out.append((p, "PARSED", kind, text, None))
+                    kind, text, cut = text_of(p, bytes(data))
+                    out.append((p, "PARSED", kind, text, None, cut, not text.strip()))
                 except Refused as e:
-                    out.append((p, "FAILED", p.lower().rsplit(".", 1)[-1], None, str(e)))
-            yield pd.DataFrame(out, columns=["path", "status", "kind", "text", "error"])
+                    out.append((p, "FAILED", p.lower().rsplit(".", 1)[-1], None, str(e), False, False))
+            yield pd.DataFrame(out, columns=["path", "status", "kind", "text", "error", "truncated", "needs_ocr"])
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, status string, kind string, text string, error string")
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, status string, kind string, text string, error string, truncated boolean, needs_ocr boolean")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
