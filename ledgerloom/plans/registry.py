@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, grouping, identities, lifecycles, linking, relating, reports, searching, streams, texts, tracking
+from . import analyses, events, grouping, identities, lifecycles, linking, readings, relating, reports, searching, streams, texts, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (tracking, grouping, texts, identities, linking, relating, events, lifecycles, searching, reports, streams)
+_MODULES = (tracking, grouping, texts, analyses, identities, linking, relating, events, lifecycles, searching, reports, readings, streams)
 
 
 def queries() -> dict[str, Query]:
