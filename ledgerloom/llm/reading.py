@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,23 +130,41 @@ def latent(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.interp(scores, [x[0] - edge, *x, x[-1] + edge], [1.0, *(np.arange(1, LEVELS) + 0.5), float(LEVELS)])
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, sizes) of an Arrow column of lists."""
-    ends = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(ends)
+STEP = 0xFFFF
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Sorted places as 16-bit gaps, compressed; a gap of STEP or more is written as STEPs and a rest."""
+    gaps = np.diff(places, prepend=0)
+    if len(gaps) and gaps.max() >= STEP:
+        whole, rest = np.divmod(gaps, STEP)
+        out = np.full(len(gaps) + int(whole.sum()), STEP, dtype=np.uint16)
+        out[np.cumsum(whole + 1) - 1] = rest
+        gaps = out
+    return zstandard.compress(gaps.astype(np.uint16).tobytes(), 1)
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all documents one after the other, their numbers) of a column of packed places."""
+    parts = [np.frombuffer(zstandard.decompress(x), dtype=np.uint16) for x in column.to_pylist()]
+    gaps = np.concatenate([*parts, np.zeros(0, dtype=np.uint16)]).astype(np.int64)
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    total = np.cumsum(gaps)
+    first = np.searchsorted(row, np.arange(len(parts)))
+    base = np.concatenate([[0], total])[first]
+    real = gaps != STEP
+    return (total - base[row])[real], np.bincount(row[real], minlength=len(parts))
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """(doc_id, places, level, weight): docs (doc_id, text, level, weight), texts as the places of their words; checkpointed."""
+    """(doc_id, places, level, weight): docs (doc_id, text, level, weight), texts as the packed places of their words; checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [words(t) for t in b.column("text").to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
-            flat = np.concatenate([*places, np.zeros(0, dtype=np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), b.column("level"), b.column("weight")], ["doc_id", "places", "level", "weight"])
+            places = pa.array([packed(words(t)) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), places, b.column("level"), b.column("weight")], ["doc_id", "places", "level", "weight"])
 
-    return checkpointed(docs.select("doc_id", "text", "level", "weight").mapInArrow(run, "doc_id long, places array<int>, level int, weight double"))
+    return checkpointed(docs.select("doc_id", "text", "level", "weight").mapInArrow(run, "doc_id long, places binary, level int, weight double"))
 
 
 def _word_counts(docs: DataFrame, cuts: np.ndarray | None, model) -> DataFrame:
@@ -154,7 +173,7 @@ def _word_counts(docs: DataFrame, cuts: np.ndarray | None, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(PLACES * LEVELS)
         for b in batches:
-            places, sizes = _lists(b.column("places"))
+            places, sizes = unpacked(b.column("places"))
             level = b.column("level").to_numpy(zero_copy_only=False).astype(float)
             weight = np.where(np.isnan(level), ESTIMATE, np.nan_to_num(b.column("weight").to_numpy(zero_copy_only=False).astype(float)))
             if model is None:
@@ -234,7 +253,7 @@ def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     def cut(model) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(model.value.scores(*_lists(b.column("places")))), b.column("level")], ["score", "level"])
+                yield pa.RecordBatch.from_arrays([pa.array(model.value.scores(*unpacked(b.column("places")))), b.column("level")], ["score", "level"])
 
         rows = sample.mapInArrow(run, "score double, level int").toPandas()
         return cut_points(rows["score"].to_numpy(), rows["level"].to_numpy())
@@ -253,7 +272,7 @@ def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = model.value.scores(*_lists(b.column("places")))
+            scores = model.value.scores(*unpacked(b.column("places")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array(np.searchsorted(cuts, scores).astype(np.int32) + 1)], ["doc_id", "score", "level"])
 
     return texts.select("doc_id", "places").mapInArrow(run, "doc_id long, score double, level int")

@@ -134,3 +134,14 @@ def test_difficulty_grows_with_the_levels_of_documents():
     counts = np.array([[9, 1, 0, 0, 0], [2, 2, 2, 2, 2], [0, 0, 0, 1, 9]], dtype=float)
     b = reading.difficulties(counts, reading.steps_of(np.ones(5)))
     assert b[0] < b[1] < b[2] and abs(b[1]) < 1e-6
+
+
+def test_places_are_packed_without_loss():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(0, reading.PLACES, n)) for n in (0, 1, 3, 0, 400, 5000)] + [np.array([reading.STEP]), np.array([0, 2 * reading.STEP, 2 * reading.STEP + 5]), np.array([], dtype=np.int64)]
+    flat, sizes = reading.unpacked(pa.array([reading.packed(d) for d in docs], pa.binary()))
+    assert sizes.tolist() == [len(d) for d in docs] and flat.tolist() == np.concatenate(docs).tolist()
+    flat, sizes = reading.unpacked(pa.array([], pa.binary()))
+    assert len(flat) == len(sizes) == 0
