@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -35,24 +35,24 @@ def blocked_pairs(keyed: DataFrame, least: int = 2, most: int = 25) -> DataFrame
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def similar_sets(rows: DataFrame, items: Callable[[Column], Column], percent: int) -> DataFrame:
-    """(a, b) with a < b of all values of one group whose sets have a Jaccard of at least ``percent`` of 100; no block is left out.
+def similar_candidates(rows: DataFrame, group: Sequence[str], items: Column, percent: int) -> DataFrame:
+    """(a, b) with a < b, each once: all rows of one group whose sets have a Jaccard of at least ``percent`` of 100, among others that may not; no block is left out.
 
-    rows: (id, group, value); items makes the set of a value. Sets of n items that are so similar
-    share at least ceil(percent n / 100) of them, so they share one of the n + 1 less that number
-    that are rarest: only these are joined, by their hashes, and the values compared after it.
+    rows: id, the group's columns, those of items, a set. Sets of n items that are so similar share
+    at least ceil(percent n / 100) of them, so the rarest item that both have is one of the n + 1
+    less that number that are rarest in either: only these are joined, by their hashes. From its
+    place in both sets follows how many they can share; too few for sets of their sizes, and the
+    pair isn't made.
     """
-    hashed = rows.select("id", F.size(items(F.col("value"))).alias("n"), F.explode(F.transform(items(F.col("value")), lambda x: F.xxhash64("group", x))).alias("key"))
-    counts = hashed.groupBy("key").agg(F.count("*").alias("often"))
+    hashed = rows.select("id", items.alias("items"), *group).select("id", F.size("items").alias("n"), F.explode(F.transform("items", lambda x: F.xxhash64(*group, x))).alias("key"))
+    # items of one set alone come first in it and join nothing
+    counts = hashed.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
     ranked = hashed.join(counts, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("p"))
-    first = F.expr(f"cast(n + 1 - ({percent} * n + 99) div 100 as int)")
-    posted = checkpointed(ranked.select("id", "n", F.explode(F.slice("p", F.lit(1), first)).alias("k")).select("id", "n", F.col("k.key").alias("key")))
+    posted = ranked.select("id", "n", (F.col("n") - F.size("p")).alias("alone"), F.posexplode("p").alias("place", "k")).select("id", "n", F.expr("n - alone - place").alias("rest"), F.col("k.key").alias("key"))
+    posted = checkpointed(posted.filter(f"100 * rest >= {percent} * n"))
     a, b = posted.alias("a"), posted.alias("b")
-    fits = (F.col("a.id") < F.col("b.id")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, "key").filter(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    both = with_both(pairs, rows, "id", ["group", "value"]).filter("a_group = b_group")
-    x, y = items(F.col("a_value")), items(F.col("b_value"))
-    return both.filter(100 * F.size(F.array_intersect(x, y)) >= percent * F.size(F.array_union(x, y))).select("a", "b")
+    fits = (F.col("a.id") < F.col("b.id")) & ((100 + percent) * F.least("a.rest", "b.rest") >= percent * (F.col("a.n") + F.col("b.n")))
+    return a.join(b, "key").filter(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def with_both(pairs: DataFrame, records: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

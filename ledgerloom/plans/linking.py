@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,22 +35,32 @@ def ngram_blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
     return linking.blocked_pairs(_keyed(spark, d))
 
 
-def _whole_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) with a < b of all records of one province whose names are equal, have a 3-gram Jaccard of at least 0.55, or one of at least 8 characters begins the other. rows: (id, province, name)."""
-    rows = checkpointed(rows.filter("province <> '' and name <> ''").select("id", "province", "name"))
-    names = checkpointed(rows.groupBy("province", "name").agg(F.min("id").alias("id")))
-    alike = linking.similar_sets(names.select("id", F.col("province").alias("group"), F.col("name").alias("value")), lambda c: T.ngrams(c, 3), 55)
-    cut = names.filter("length(name) > 8").select(F.col("id").alias("b"), "province", F.explode(F.transform(F.sequence(F.lit(8), F.length("name") - 1), lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("name"))
-    begun = cut.join(names, ["province", "name"]).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-    pairs = alike.unionByName(begun).distinct().unionByName(names.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    # names are compared once, then stand for all records that bear them
-    bear = rows.join(names.withColumnRenamed("id", "first"), ["province", "name"])
-    both = pairs.join(bear.select(F.col("first").alias("a"), F.col("id").alias("x")), "a").join(bear.select(F.col("first").alias("b"), F.col("id").alias("y")), "b")
-    return both.filter("a <> b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
+def _whole_pairs(rows: DataFrame, same: Sequence[str] = (), fields: Sequence[str] = ()) -> DataFrame:
+    """(a, b, points) with a < b, and both ends' fields, of all records of one province whose names are equal, or whose names have points by _pointed and whose ``same`` fields are equal and not empty.
 
-def _compared(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
-    return linking.with_both(ngram_blocking_pairs(spark, d) if pairs is None else pairs, _named(spark, d), "id", ["name", "owner", "province", "source_site", "created_at"])
+    rows: (id, province, name) and the fields. Different names are compared once, then stand for all records that bear them.
+    """
+    rows = checkpointed(rows.filter("province <> '' and name <> ''").select("id", "province", "name", *dict.fromkeys([*same, *fields])))
+    x, y = rows.alias("x"), rows.alias("y")
+    ends = [F.col(f"{n}.{f}").alias(f"{e}_{f}") for n, e in ("xa", "yb") for f in fields]
+    equal = x.join(y, (F.col("x.province") == F.col("y.province")) & (F.col("x.name") == F.col("y.name")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(45).alias("points"), *ends)
+    keys = ["province", *same]
+    kept = rows.filter(" and ".join(f"{k} <> ''" for k in keys))
+    names = checkpointed(kept.groupBy(*keys, "name").agg(F.min("id").alias("id")))
+    alike = linking.similar_candidates(names, keys, T.ngrams(F.col("name"), 3), 55)
+    begins = F.transform(F.sequence(F.lit(8), F.length("name") - 1), lambda n: F.xxhash64(*keys, F.substring(F.col("name"), F.lit(1), n)))
+    begun = names.filter("length(name) > 8").select(F.col("id").alias("y"), F.explode(begins).alias("key")).join(names.select(F.col("id").alias("x"), F.xxhash64(*keys, "name").alias("key")), "key")
+    pairs = alike.unionByName(begun.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    both = linking.with_both(pairs, names, "id", [*keys, "name"]).filter(" and ".join(f"a_{k} = b_{k}" for k in keys))
+    near = _pointed(both).filter("points > 0").select("a", "b", "points")
+    bear = kept.join(names.withColumnRenamed("id", "first"), [*keys, "name"]).select("first", F.struct("id", *fields).alias("row"))
+    met = near.join(bear.select(F.col("first").alias("a"), F.col("row").alias("x")), "a").join(bear.select(F.col("first").alias("b"), F.col("row").alias("y")), "b")
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "points")
+    return equal.unionByName(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "points", *ends))
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return linking.with_both(ngram_blocking_pairs(spark, d), _named(spark, d), "id", ["name", "owner", "province", "source_site", "created_at"])
 
 
 def ngram_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -56,26 +68,33 @@ def ngram_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return both.select("a", "b", F.round(T.jaccard(T.ngrams(F.col("a_name"), 3), T.ngrams(F.col("b_name"), 3)), 4).alias("jaccard"))
 
 
-def _scored(compared: DataFrame) -> DataFrame:
-    """Pairs with a score of at least 75 of 100, added up from name, owner, source and time."""
+def _pointed(compared: DataFrame) -> DataFrame:
+    """Adds points: up to 45 of 100, for the names alone."""
     both = compared.withColumn("jaccard", T.jaccard(T.ngrams(F.col("a_name"), 3), T.ngrams(F.col("b_name"), 3)))
     contained = (F.least(F.length("a_name"), F.length("b_name")) >= 8) & (F.startswith("a_name", F.col("b_name")) | F.startswith("b_name", F.col("a_name")))
-    name = F.when(F.col("a_name") == F.col("b_name"), 45).when(contained, 38).when(F.col("jaccard") >= 0.65, 35).when(F.col("jaccard") >= 0.55, 30).otherwise(0)
+    return both.withColumn("points", F.when(F.col("a_name") == F.col("b_name"), 45).when(contained, 38).when(F.col("jaccard") >= 0.65, 35).when(F.col("jaccard") >= 0.55, 30).otherwise(0))
+
+
+def _scored(pointed: DataFrame) -> DataFrame:
+    """Pairs with a score of at least 75 of 100, added up from name, owner, source and time."""
     owner = F.when((F.col("a_owner") != "") & (F.col("a_owner") == F.col("b_owner")), 25).otherwise(0)
     apart = F.abs(F.date_diff("a_created_at", "b_created_at"))
     time = F.when(apart <= 730, 5).when(apart > 1460, -10).otherwise(0)
     cross = F.when(F.col("a_source_site") != F.col("b_source_site"), 5).otherwise(0)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), name + owner + time + cross + 10 + 10)).cast("int")
-    return both.filter(name > 0).select("a", "b", score.alias("score")).filter("score >= 75").withColumn("level", F.when(F.col("score") >= 90, "HIGH").otherwise("MEDIUM"))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("points") + owner + time + cross + 10 + 10)).cast("int")
+    return pointed.filter("points > 0").select("a", "b", score.alias("score")).filter("score >= 75").withColumn("level", F.when(F.col("score") >= 90, "HIGH").otherwise("MEDIUM"))
 
 
 def pair_score_additive(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_compared(spark, d))
+    return _scored(_pointed(_compared(spark, d)))
 
 
 def pair_score_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same scores over all pairs of a province that can reach 75, however common their n-grams are."""
-    return _scored(_compared(spark, d, _whole_pairs(_named(spark, d))))
+    """The same scores over all pairs of a province that can reach 75, however common their n-grams are.
+
+    Names that differ have 38 points at most, so without an owner in common they reach 38 + 5 + 5 + 20 = 68: they are compared only where the owners are equal.
+    """
+    return _scored(_whole_pairs(_named(spark, d), ["owner"], ["owner", "source_site", "created_at"]))
 
 
 def matching_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:

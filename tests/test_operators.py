@@ -131,6 +131,34 @@ def test_whole_pairs_equal_brute_force(spark):
     assert (83, 84) in want and len(want) > 500
 
 
+def test_whole_scores_compare_different_names_of_one_owner_only(spark, rows, tmp_path, monkeypatch):
+    import random
+    from itertools import combinations
+
+    from ledgerloom.plans.linking import pair_score_whole
+
+    rng = random.Random(5)
+    days = [None, datetime(2018, 1, 1), datetime(2022, 6, 1), datetime(2024, 5, 31), datetime(2025, 1, 1)]
+    made = [(i, rng.choice(["s", "t", None]), f"o{i}" if i <= 300 else rng.choice(["甲", "乙", "", None]), rng.choice(["河北省", "河北", "天津"]), None, "河北省兰璟市琼道路" + "".join(rng.choice("东西桥") for _ in range(rng.randint(0, 9))), rng.choice(days)) for i in range(1, 381)]
+    spark.createDataFrame(made, "id long, source_site string, owner string, region string, project_stage string, project_name string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/project.parquet")
+    grams = lambda s: {s[i : i + 3] for i in range(max(1, len(s) - 2))}
+
+    def score(x, y):
+        (_, s, o, p, _, n, d), (_, t, q, r, _, m, e) = x, y
+        alike = len(grams(n) & grams(m)) / len(grams(n) | grams(m))
+        points = 45 if n == m else 38 if n.startswith(m) or m.startswith(n) else 35 if alike >= 0.65 else 30 if alike >= 0.55 else 0
+        apart = abs((d - e).days) if d and e else 1000
+        return (p[:2] == r[:2] and points > 0) * (points + 25 * bool(o and o == q) + (5 if apart <= 730 else -10 if apart > 1460 else 0) + 5 * bool(s and t and s != t) + 20)
+
+    want = {(x[0], y[0]): score(x, y) for x, y in combinations(made, 2)}
+    compared, both = [], linking.with_both
+    monkeypatch.setattr(linking, "with_both", lambda pairs, *others: compared.append(pairs.count()) or both(pairs, *others))
+    got = rows(pair_score_whole(spark, str(tmp_path)))
+    assert got == sorted(((a, b, s, "HIGH" if s >= 90 else "MEDIUM") for (a, b), s in want.items() if s >= 75), key=str)
+    assert {75, 80, 83, 90} <= {s for *_, s, _ in got}
+    assert sum(compared) < 2000 < sum(s > 0 for s in want.values())
+
+
 def test_blocks_over_the_limit_make_no_pairs(spark, rows):
     keyed = spark.createDataFrame([("k", i) for i in range(30)] + [("m", 1), ("m", 2), ("x", 5)], "key string, id long")
     assert rows(linking.blocked_pairs(keyed)) == [(1, 2)]
